@@ -28,5 +28,66 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op6_near_duplicates)}
-ORACLES: dict[str, str] = {}
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm import pii
+
+    return pii.report(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm import warc
+
+    path = warc.archive_path(spark)
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.report(spark, path)
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm import secrets
+
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm import decontaminate
+
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm import langid
+
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+             list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                CAST((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) // CAST(pow(32, 3 - i % 4) AS BIGINT)) % 32 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM d
+"""
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_top_k, op3_packing, op4_warc, op5_decontaminate, op6_near_duplicates, op7_secrets, op9_language)}
+ORACLES: dict[str, str] = {"op2_top_k": OP2_SQL, "op4_warc": OP4_SQL}
