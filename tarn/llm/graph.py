@@ -1,7 +1,9 @@
 """Connected components of an edge table by alternating star contraction.
 
 Rounds of joins and aggregations; no link or component reaches the driver but as
-counts. Every round is written to the shared folder, which cuts the lineage.
+counts. Every round is written to the shared folder, which cuts the lineage,
+and aggregates are written before they are joined, so that Spark can split the rows
+of a node with very many links.
 """
 
 from __future__ import annotations
@@ -15,14 +17,14 @@ from tarn.llm._common import materialise
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link each neighbour larger than u to the smallest in u's neighbourhood."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    least = materialise(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("b"), F.col("m").alias("a")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link u and each neighbour smaller than u to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialise(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").select(F.col("v").alias("b"), F.col("m").alias("a"))
     return moved.unionAll(least.select(F.col("u").alias("b"), F.col("m").alias("a"))).where("a <> b").distinct()
 
@@ -32,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"), "edges")
     before = None
     while True:
-        now = materialise(_small_star(_large_star(now)).select("a", "b"), "star")
+        now = materialise(_small_star(materialise(_large_star(now), "large")).select("a", "b"), "star")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

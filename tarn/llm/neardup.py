@@ -12,10 +12,10 @@ the k smallest hashes. The steps:
 3. Each list links its members to its smallest member only; the pairs are filtered by
    the similarity that the sketch of the union estimates and then verified on the
    full sets, read from the texts again.
-4. What these links left in different components, though in one list, is paired on
-   both sides of a join that drops pairs within a component; these pairs go through
-   the same filter and check. So a group of n near copies takes about n pairs, and
-   no link between components is lost.
+4. What these links left in different components, though in one list, is compared
+   by prefix and position filters on the full sets (``_across``), which are exact; the
+   pairs go through the same filter and check. So a group of n near copies takes
+   about n pairs, and no link between components is lost.
 5. Connected components of the verified links.
 
 t is where fewer than one pair in a million at exactly the threshold has less
@@ -151,6 +151,49 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, k:
     return materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct(), "links")
 
 
+def _across(left: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of classes in different components that may be similar enough, by exact prefix and position filters on full sets.
+
+    ``left`` has (rep, n_shingles, c). All sets are put in one order, rarest shingle
+    first. If a pair's first common shingle stands at place i of one set and j of the
+    other, at most min(n - i, m - j) are common, which must reach
+    similarity / (1 + similarity) of n + m. So a set only enters with the places that
+    leave room for a partner, and a copy whose own changes already fill that room
+    meets nobody, however large its group. In each list the component that has most
+    of it is joined with the others only.
+    """
+    share = similarity / (1 + similarity)
+    schema = pa.schema([("rep", pa.int64()), ("h", pa.int64())])
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            for rep, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = shingles(text.as_buffer().to_pybytes(), words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), rep)), pa.array(s)], schema=schema)
+
+    whole = docs.join(left.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sets = materialise(whole.mapInArrow(run, "rep long, h long").distinct(), "sets")
+    common = materialise(sets.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "common")
+    found = sets.join(common, "h").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("found")).join(left, "rep")
+    alone = F.col("n_shingles") - F.size("found")
+    room = F.floor(F.col("n_shingles") * (1 - similarity) + 1e-6) + 1 - alone
+    entries = found.where(room > 0).select("rep", "c", F.col("n_shingles").alias("n"), alone.alias("alone"), F.posexplode(F.slice("found", F.lit(1), room.cast("int"))).alias("k", "x"))
+    entries = materialise(entries.select("rep", "c", "n", (F.col("alone") + F.col("k")).alias("i"), F.col("x.h").alias("h")), "entries")
+    main = entries.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count(F.lit(1)).alias("many")).where("many > 1").select("h", "main")
+    entries = materialise(entries.join(materialise(main, "main"), "h").withColumn("minor", F.col("c") != F.col("main")).drop("main"), "entries")
+    small = F.col("n") - F.col("i") >= F.col("n") * (2 * share) - 1e-6
+    out = None
+    for one, two in ((entries.where(small & F.col("minor")), entries), (entries.where(small & ~F.col("minor")), entries.where("minor"))):
+        x, y = one.alias("x"), two.alias("y")
+        most = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
+        fits = (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.n") <= F.col("y.n")) & (most >= (F.col("x.n") + F.col("y.n")) * share - 1e-6)
+        pairs = x.join(y, fits).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+        out = pairs if out is None else out.unionAll(pairs)
+    return out.distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, k: int = 64, slack: float = 0.3) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``.
 
@@ -165,23 +208,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps = materialise(rows.join(classes, (rows.set_key == classes.set_key) & (rows.doc_id == classes.rep)).select("rep", "n_shingles", "sketch").distinct(), "reps")
 
     postings = reps.select("rep", "n_shingles", F.explode("sketch").alias("h"))
-    lists = postings.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Aggregates are written out before they are joined: with a shuffle on either side Spark can split a frequent key.
+    lists = materialise(postings.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "lists")
     shared = postings.join(lists, "h").groupBy("rep", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("found"))
     alone = F.least("n_shingles", F.lit(k)) - F.size("found")
     room = (_prefix(F.col("n_shingles"), k, t, similarity) - alone).cast("int")
     listed = materialise(shared.where(room > 0).select("rep", "n_shingles", F.explode(F.slice("found", F.lit(1), room)).alias("x")).select("rep", "n_shingles", F.col("x.h").alias("h")), "listed")
 
-    pivots = listed.groupBy("h").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("df")).where("df > 1").select("h", "a")
+    pivots = materialise(listed.groupBy("h").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("df")).where("df > 1").select("h", "a"), "pivots")
     stars = listed.join(pivots, "h").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
     links = _verified(stars, reps, docs, words, k, similarity, slack)
 
     first = components(links)
     own = listed.join(first, listed.rep == first.id, "left").select("h", "rep", "n_shingles", F.coalesce("component", "rep").alias("c"))
-    mixed = own.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-    rest = materialise(own.join(mixed, "h"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    cross = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.n_shingles") * similarity <= F.col("y.n_shingles")) & (F.col("y.n_shingles") * similarity <= F.col("x.n_shingles")))
-    cross = cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    mixed = materialise(own.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h"), "mixed")
+    left = materialise(own.join(mixed, "h").select("rep", "n_shingles", "c").distinct(), "left")
+    cross = _across(left, docs, words, similarity).join(stars, ["a", "b"], "left_anti")
     more = _verified(cross, reps, docs, words, k, similarity, slack)
 
     # Rows that share an id are one document, whatever their texts.

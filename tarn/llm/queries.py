@@ -61,6 +61,14 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm import sharding
+    from tarn.llm._common import scratch
+
+    store = sharding.shard_documents(table(spark, sf_dir, "documents"), scratch(spark, "store"))
+    return store.read().select("doc_id", "lang", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm import langid
 
@@ -89,5 +97,7 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_top_k, op3_packing, op4_warc, op5_decontaminate, op6_near_duplicates, op7_secrets, op9_language)}
-ORACLES: dict[str, str] = {"op2_top_k": OP2_SQL, "op4_warc": OP4_SQL}
+OP8_SQL = "SELECT doc_id, lang, source, octet_length(encode(text))::BIGINT AS n_bytes, sha256(text) AS text_sha256 FROM documents"
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_top_k, op3_packing, op4_warc, op5_decontaminate, op6_near_duplicates, op7_secrets, op8_sharding, op9_language)}
+ORACLES: dict[str, str] = {"op2_top_k": OP2_SQL, "op4_warc": OP4_SQL, "op8_sharding": OP8_SQL}

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm._common import scratch
+from tarn.llm._common import materialise, scratch
 
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -61,7 +61,8 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
         F.max("page_id").alias("response_id"), F.max_by(F.coalesce("url", F.lit("")), F.struct(F.col("page_id").isNotNull(), "page_id", F.coalesce("url", F.lit("")))).alias("response_url"),
         F.max("size").alias("size"), F.max("sha1").alias("sha1"), (F.max("size") == F.min("size")).alias("a"), (F.max("sha1") == F.min("sha1")).alias("b"),
     )
-    verified = groups.withColumn("response_id", F.when(F.col("a") & F.col("b"), F.col("response_id")).otherwise(F.raise_error("one digest for two payloads").cast("long")))
+    # Written out, so that the joins below have a shuffle on either side and Spark can split a frequent payload's rows.
+    verified = materialise(groups.withColumn("response_id", F.when(F.col("a") & F.col("b"), F.col("response_id")).otherwise(F.raise_error("one digest for two payloads").cast("long"))), "groups")
     k, g = keyed.alias("k"), verified.alias("g")
     both = k.join(g, "digest")
     is_response = (F.col("k.size") < least) | (F.col("k.page_id").eqNullSafe(F.col("g.response_id")) & (F.coalesce("k.url", F.lit("")) == F.col("g.response_url")))
@@ -83,7 +84,7 @@ def payloads(spark: SparkSession, path: str) -> DataFrame:
 
 def field(name: str) -> Column:
     """A field of the header block; null if it has none."""
-    value = F.regexp_extract("header", rf"(?m)^{name}: ([^\r]*)\r$", 1)
+    value = F.regexp_extract("header", rf"\n{name}: ([^\r]*)\r\n", 1)
     return F.when(value != "", value)
 
 
