@@ -21,7 +21,7 @@ import re._parser as sre
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm._common import texts
@@ -32,7 +32,8 @@ from tarn.llm.spans import clean, joined, with_matches
 class Rule:
     """A pattern in the common subset of Python's and Java's syntax; ``java`` may give a faster equal for Java.
 
-    ``group`` with ``least`` drops matches whose group is shorter.
+    ``group`` with ``least`` drops matches whose group is shorter. The faster equals
+    of the base rules skip runs that are too short, which no longer match can share.
     """
 
     kind: str
@@ -46,8 +47,8 @@ class Rule:
 #: The three base rules.
 BASE = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", True, 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", True, 0, 20),
-    Rule("hex", r"[0-9a-f]+", True, 0, 24),
+    Rule("access", r"AKIA[A-Z0-9]+", True, 0, 20, r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"[0-9a-f]+", True, 0, 24, r"(?<![0-9a-f])[0-9a-f]{24,}+"),
 )
 #: Public token formats beside the base rules.
 MORE = (
@@ -197,3 +198,13 @@ def report(found: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame
     of = lambda kind: lambda s: s["kind"] == kind  # noqa: E731  a second parameter would be the position
     counts = [F.size(F.filter("found", of(r.kind))).cast("long").alias(f"n_{r.kind}") for r in rules if r.base]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
+def masked(text: str, found: str) -> Column:
+    """The text with every found span replaced by its kind in brackets; spans that overlap an earlier one are part of it."""
+    whole = F.expr(f"""
+        aggregate({found}, named_struct('at', 0, 'out', cast(array() as array<string>)),
+          (a, s) -> if(s.end <= a.at, a, named_struct('at', s.end,
+            'out', concat(a.out, array(if(s.start >= a.at, substring({text}, a.at + 1, s.start - a.at), ''), if(s.start >= a.at, concat('[', s.kind, ']'), ''))))),
+          a -> array_join(array_append(a.out, substring({text}, a.at + 1)), ''))""")
+    return whole
