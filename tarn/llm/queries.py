@@ -75,6 +75,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm import urls
+
+    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 OP2_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -99,5 +105,5 @@ FROM d
 
 OP8_SQL = "SELECT doc_id, lang, source, octet_length(encode(text))::BIGINT AS n_bytes, sha256(text) AS text_sha256 FROM documents"
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_top_k, op3_packing, op4_warc, op5_decontaminate, op6_near_duplicates, op7_secrets, op8_sharding, op9_language)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_top_k, op3_packing, op4_warc, op5_decontaminate, op6_near_duplicates, op7_secrets, op8_sharding, op9_language, op10_urls)}
 ORACLES: dict[str, str] = {"op2_top_k": OP2_SQL, "op4_warc": OP4_SQL, "op8_sharding": OP8_SQL}
