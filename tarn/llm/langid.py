@@ -113,7 +113,8 @@ def marginals(emissions, firsts, moves, begin):
     stay, start = np.exp(moves - moves.max()), np.exp(begin - begin.max())
     blocks = -(-n // BLOCK)
     e = np.concatenate([e, np.ones((blocks * BLOCK - n, s))]).reshape(blocks, BLOCK, s)
-    first = np.concatenate([firsts, np.zeros(blocks * BLOCK - n, bool)]).reshape(blocks, BLOCK)
+    # What fills the last block is a chain of its own, so it says nothing about the words before.
+    first = np.concatenate([firsts, np.ones(blocks * BLOCK - n, bool)]).reshape(blocks, BLOCK)
 
     def step(state, k):
         """state (blocks x rows x s) times the matrix of word k."""
