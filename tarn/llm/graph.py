@@ -14,17 +14,20 @@ from pyspark.sql import functions as F
 from tarn.llm._common import materialise
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+ROWS_PER_FILE = 250_000
+
+
+def _large_star(edges: DataFrame, parts: int) -> DataFrame:
     """Link each neighbour larger than u to the smallest in u's neighbourhood."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = materialise(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
+    least = materialise(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")).coalesce(parts), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("b"), F.col("m").alias("a")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, parts: int) -> DataFrame:
     """Link u and each neighbour smaller than u to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = materialise(down.groupBy("u").agg(F.min("v").alias("m")), "least")
+    least = materialise(down.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts), "least")
     moved = down.join(least, "u").select(F.col("v").alias("b"), F.col("m").alias("a"))
     return moved.unionAll(least.select(F.col("u").alias("b"), F.col("m").alias("a"))).where("a <> b").distinct()
 
@@ -33,10 +36,12 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id that some edge (a, b) names; component is the smallest id reachable."""
     now = materialise(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"), "edges")
     before = None
+    parts = max(8, now.count() // ROWS_PER_FILE)  # many small files would cost more than the work
     while True:
-        now = materialise(_small_star(materialise(_large_star(now), "large")).select("a", "b"), "star")
+        large = materialise(_large_star(now, parts).coalesce(parts), "large")
+        now = materialise(_small_star(large, parts).select("a", "b").coalesce(parts), "star")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
+        before, parts = state, max(8, state[0] // ROWS_PER_FILE)
     return now.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component")).unionAll(now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())

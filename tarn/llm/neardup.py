@@ -19,8 +19,8 @@ the k smallest hashes. The steps:
 5. Connected components of the verified links.
 
 t is where fewer than one pair in a million at exactly the threshold has less
-overlap (binomial bound); sets of at most 4 k / 5 shingles are whole in their
-sketches, where the bound is exact.
+overlap (hypergeometric in the size of the set); for sets of at most 4 k / 5
+shingles both sketches are whole, and the bound is exact.
 
 Defined results: null and empty texts and texts without words have no shingles and
 are linked with nothing; a text with fewer words than a shingle is one shingle;
@@ -78,14 +78,24 @@ def shingles(text: bytes, words: int):
     return np.unique(out)
 
 
-def least_overlap(k: int, similarity: float, miss: float = 1e-6) -> int:
-    """The largest t with P(Binomial(k, similarity) < t) <= miss."""
+def least_overlap(k: int, similarity: float, n: int | None = None, miss: float = 1e-6) -> int:
+    """The largest t with P(fewer than t of a union's k smallest hashes are common) <= miss, for a pair at the threshold.
+
+    Of a set of n the union has at most n / similarity hashes, and drawing k of them is
+    hypergeometric; without n the bound is the binomial of an endless union.
+    """
+    union = None if n is None else max(k, math.ceil(n / similarity))
+    common = None if union is None else math.ceil(union * similarity - 1e-9)
     below, t = 0.0, 0
-    while True:
-        below += math.comb(k, t) * similarity**t * (1 - similarity) ** (k - t)
+    while t < k:
+        if union is None:
+            below += math.comb(k, t) * similarity**t * (1 - similarity) ** (k - t)
+        elif k - t <= union - common:
+            below += math.comb(common, t) * math.comb(union - common, k - t) / math.comb(union, k)
         if below > miss:
-            return t
+            break
         t += 1
+    return t
 
 
 def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
@@ -108,11 +118,14 @@ def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch array<long>")
 
 
-def _prefix(size: Column, k: int, t: int, similarity: float) -> Column:
+def _prefix(size: Column, k: int, similarity: float) -> Column:
     """How many of a sketch's hashes, rarest first, must be looked at."""
-    kept = F.least(size, F.lit(k))
-    need = F.when(size <= int(similarity * k), F.ceil(size * F.lit(similarity))).otherwise(F.floor(kept * F.lit(t / k)))
-    return (kept - need + 1).cast("int")
+    first = int(similarity * k)
+    steps = range(first + 1, 20 * k)
+    by_size = F.lit([least_overlap(k, similarity, n) for n in steps])
+    need = F.when(size <= first, F.ceil(size * F.lit(similarity))).when(size < 20 * k, F.get(by_size, (size - first - 1).cast("int"))).otherwise(F.lit(least_overlap(k, similarity)))
+    # A union smaller than a sketch is whole, and four fifths of it are common.
+    return (F.least(size, F.lit(k)) - F.least(need, F.ceil(size * F.lit(similarity))) + 1).cast("int")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, k: int, similarity: float, slack: float) -> DataFrame:
@@ -174,9 +187,9 @@ def _across(left: DataFrame, docs: DataFrame, words: int, similarity: float) ->
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), rep)), pa.array(s)], schema=schema)
 
     whole = docs.join(left.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = materialise(whole.mapInArrow(run, "rep long, h long").distinct(), "sets")
+    sets = materialise(whole.mapInArrow(run, "rep long, h long"), "sets")
     common = materialise(sets.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "common")
-    found = sets.join(common, "h").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("found")).join(left, "rep")
+    found = sets.join(common, "h").groupBy("rep").agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("found")).join(left, "rep")
     alone = F.col("n_shingles") - F.size("found")
     room = F.floor(F.col("n_shingles") * (1 - similarity) + 1e-6) + 1 - alone
     entries = found.where(room > 0).select("rep", "c", F.col("n_shingles").alias("n"), alone.alias("alone"), F.posexplode(F.slice("found", F.lit(1), room.cast("int"))).alias("k", "x"))
@@ -201,7 +214,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     similarity before a pair is dropped; at k = 64 it is six standard deviations.
     """
     docs = texts(docs, id_col, text_col)
-    t = least_overlap(k, similarity)
     rows = materialise(sketches(docs, words, k), "sketches")
     classes = materialise(rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     # One row of each class: the same id with the same set, however often it is repeated.
@@ -212,14 +224,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     lists = materialise(postings.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "lists")
     shared = postings.join(lists, "h").groupBy("rep", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("found"))
     alone = F.least("n_shingles", F.lit(k)) - F.size("found")
-    room = (_prefix(F.col("n_shingles"), k, t, similarity) - alone).cast("int")
+    room = (_prefix(F.col("n_shingles"), k, similarity) - alone).cast("int")
     listed = materialise(shared.where(room > 0).select("rep", "n_shingles", F.explode(F.slice("found", F.lit(1), room)).alias("x")).select("rep", "n_shingles", F.col("x.h").alias("h")), "listed")
 
     pivots = materialise(listed.groupBy("h").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("df")).where("df > 1").select("h", "a"), "pivots")
     stars = listed.join(pivots, "h").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
     links = _verified(stars, reps, docs, words, k, similarity, slack)
 
-    first = components(links)
+    first = materialise(components(links), "components")
     own = listed.join(first, listed.rep == first.id, "left").select("h", "rep", "n_shingles", F.coalesce("component", "rep").alias("c"))
     mixed = materialise(own.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h"), "mixed")
     left = materialise(own.join(mixed, "h").select("rep", "n_shingles", "c").distinct(), "left")
@@ -229,8 +241,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Rows that share an id are one document, whatever their texts.
     same = rows.join(classes, "set_key").where("doc_id > rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     many = rows.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo < hi").select(F.col("doc_id").alias("b"))
-    final = components(links.unionAll(more).unionAll(same.join(many, "b").select("a", "b")))
-    named = classes.join(final, classes.rep == final.id, "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    # What joins components is small, and its components are those of the components.
+    extra = materialise(more.unionAll(same.join(many, "b").select("a", "b")), "extra")
+    of = lambda x: first.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"))
+    between = extra.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    second = components(between)
+    once = classes.join(first, classes.rep == first.id, "left").select("set_key", F.coalesce("component", "rep").alias("c"))
+    named = once.join(second, once.c == second.id, "left").select("set_key", F.coalesce("component", "c").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
