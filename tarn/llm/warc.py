@@ -68,12 +68,13 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
     is_response = (F.col("k.size") < least) | (F.col("k.page_id").eqNullSafe(F.col("g.response_id")) & (F.coalesce("k.url", F.lit("")) == F.col("g.response_url")))
     kind = F.when(is_response, "response").otherwise("revisit")
     both.select(F.col("k.page_id").alias("page_id"), "digest", _header(kind, "k").alias("header")).write.parquet(f"{path}/headers")
-    # The holders' rows alone keep their bytes; which of equal bytes is stored doesn't matter.
-    holders = verified.select("digest", F.col("response_id").alias("page_id"), F.col("response_url").alias("url_key"))
-    full = rows.select("page_id", F.coalesce("url", F.lit("")).alias("url_key"), "payload", F.sha2("payload", 256).alias("digest"))
-    known = F.col("f.page_id").eqNullSafe(F.col("h.page_id")) & (F.col("f.url_key") == F.col("h.url_key")) & (F.col("f.digest") == F.col("h.digest"))
-    kept = full.alias("f").join(holders.alias("h"), known, "left_semi")
-    kept.dropDuplicates(["digest"]).select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    # The holders' rows alone keep their bytes. They are dealt by all of the key, which the removal of repeated rows needs too, so payloads move once.
+    name = lambda x: F.coalesce(F.col(x).cast("string"), F.lit("null"))
+    key = ["digest", "page_key", "url_key"]
+    holders = verified.select("digest", name("response_id").alias("page_key"), F.col("response_url").alias("url_key"))
+    full = rows.select(F.sha2("payload", 256).alias("digest"), name("page_id").alias("page_key"), F.coalesce("url", F.lit("")).alias("url_key"), "payload")
+    kept = full.join(holders, key, "left_semi").dropDuplicates(key)
+    kept.select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def payloads(spark: SparkSession, path: str) -> DataFrame:
