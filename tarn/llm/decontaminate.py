@@ -42,11 +42,16 @@ BLOCK = 8
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
-def tokens(text: bytes) -> list[bytes]:
-    return text.lower().split()
+#: Marks that words are stripped of, so a leak with other case or punctuation is the same.
+MARKS = ".,;:!?#$%&*()[]\"'"
 
 
-def split_item(text: str) -> tuple[list[bytes], int]:
+def tokens(text: bytes) -> list[str]:
+    """Lower-case words between white space, without the marks around them."""
+    return [w for x in text.decode("utf-8", "replace").lower().split() if (w := x.strip(MARKS))]
+
+
+def split_item(text: str) -> tuple[list[str], int]:
     """An item's words, and how many of them are its question: all but the last line, or else the last sentence."""
     lines = [x for x in re.split(r"\n+", text) if x.strip()]
     if len(lines) < 2:
@@ -71,12 +76,12 @@ class Index:
         self.questions = [self._shingles(w[:q]) for _, w, q in parts]
         # The shingles that join question and answer belong to the answer.
         self.answers = [self._shingles(w) - self.questions[k] for k, (_, w, _) in enumerate(parts)]
-        frequency: dict[bytes, int] = {}
+        frequency: dict[str, int] = {}
         for _, w, _ in parts:
             for x in set(w):
                 frequency[x] = frequency.get(x, 0) + 1
         mean = sum(len(w) for _, w, _ in parts) / max(1, len(parts))
-        self.terms: dict[bytes, int] = {}
+        self.terms: dict[str, int] = {}
         self.postings: list[list[tuple[int, float]]] = []
         self.thresholds = []
         for k, (_, w, _) in enumerate(parts):
@@ -106,7 +111,7 @@ class Index:
         self.bound = np.array([max(y[1] for y in p) for x in self.slices for p in x.values()])
         self.blocks = -(-len(parts) // BLOCK)
 
-    def _shingles(self, w: list[bytes]) -> set[tuple]:
+    def _shingles(self, w: list[str]) -> set[tuple]:
         n = self.words
         return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
@@ -150,7 +155,7 @@ class Index:
             lists = [x for x in lists if x[1] < len(x[0])]
         return out
 
-    def check(self, part: int, window: list[bytes]) -> tuple[float, float] | None:
+    def check(self, part: int, window: list[str]) -> tuple[float, float] | None:
         held = self._shingles(window)
         q, a = self.questions[part], self.answers[part]
         shares = tuple(len(x & held) / len(x) if x else 1.0 for x in (q, a))
