@@ -176,7 +176,7 @@ class Index:
         return best
 
 
-def matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", words: int = 5, overlap: float = 0.8, shard_items: int = 20_000, most_words: int = 512) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", words: int = 5, overlap: float = 0.7, shard_items: int = 20_000, most_words: int = 512) -> DataFrame:
     """A row for each row of ``docs`` and each item it contains."""
     spark = docs.sparkSession
     docs = texts(docs, id_col, text_col)
