@@ -4,6 +4,11 @@ Language ID drops documents whose language can't be told; near-duplicate detecti
 keeps the first document of each group; decontamination drops documents that contain
 benchmark items; the secret scan masks the secrets it finds; packing cuts what is left
 into token sequences. The columns of documents stay until the last stage.
+
+Defined results: rows with a null id have no name to be dropped by, so they pass the
+first three stages; a null text has no letters and goes with its document; rows that
+share an id are one document, of which the smallest row stays; empty tables give
+empty tables; other columns than those of documents are left behind.
 """
 
 from __future__ import annotations
