@@ -103,7 +103,20 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1)) + 1)) AS k FROM w),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k + 3], ' ') AS h FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n m ON m.doc_id = x JOIN n o ON o.doc_id = y WHERE 100 * c >= 80 * (m.n + o.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, q.c AS component_id, w.doc_id = q.c AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) q ON q.doc_id = w.doc_id
+"""
+
 OP8_SQL = "SELECT doc_id, lang, source, octet_length(encode(text))::BIGINT AS n_bytes, sha256(text) AS text_sha256 FROM documents"
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_top_k, op3_packing, op4_warc, op5_decontaminate, op6_near_duplicates, op7_secrets, op8_sharding, op9_language, op10_urls)}
-ORACLES: dict[str, str] = {"op2_top_k": OP2_SQL, "op4_warc": OP4_SQL, "op8_sharding": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_top_k": OP2_SQL, "op4_warc": OP4_SQL, "op6_near_duplicates": OP6_SQL, "op8_sharding": OP8_SQL}
