@@ -40,13 +40,18 @@ def fold(doc_id) -> F.Column:
 
 def training_rows(docs: DataFrame, sample_documents: int, sample_words: int) -> list[tuple[str, str]]:
     """(stretch of text, lang) of a bounded sample of labelled rows outside the held-out fold."""
-    labelled = docs.where(docs.lang.isNotNull() & docs.text.isNotNull() & (fold(docs.doc_id) != 2) & docs.text.rlike(r"\p{L}"))
     order = F.xxhash64(F.lit("train"), "doc_id")
-    chosen = labelled.select("text", "lang", order.alias("o"), "doc_id").orderBy("o", "doc_id", "lang", F.xxhash64("text")).limit(sample_documents)
-    words = chosen.select("lang", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"), "o")
+    labelled = docs.where(docs.lang.isNotNull() & docs.text.isNotNull() & (fold(docs.doc_id) != 2)).withColumn("o", order)
+    # The hashes alone are sorted; then the texts of the chosen rows are cut before they are.
+    last = labelled.select("o").orderBy("o").limit(sample_documents).agg(F.max("o")).first()[0]
+    if last is None:
+        return []
+    chosen = labelled.where(F.col("o") <= last)
+    words = chosen.select("lang", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"), "o", "doc_id")
     start = F.pmod(F.col("o"), F.greatest(F.lit(1), F.size("w") - sample_words)) + 1
-    rows = words.select("lang", F.array_join(F.transform(F.slice("w", start.cast("int"), sample_words), lambda w: F.left(w, F.lit(64))), " ").alias("t"))
-    return [(r.t, r.lang) for r in rows.orderBy("lang", "t").collect()]
+    rows = words.select("lang", F.array_join(F.transform(F.slice("w", start.cast("int"), sample_words), lambda w: F.left(w, F.lit(64))), " ").alias("t"), "o", "doc_id")
+    # Rows that share an id may be any number; as many as the sample stay.
+    return sorted((r.t, r.lang) for r in rows.orderBy("o", "doc_id", "lang", "t").limit(sample_documents).collect())
 
 
 #: Marks that words are stripped of.
