@@ -19,7 +19,8 @@ The items' index is sent to all tasks in shards of at most ``shard_items`` items
 ``most_words`` words; a larger benchmark takes more passes, a longer item is cut into
 parts that all count as the item.
 
-Defined results: null, empty and short texts match nothing unless an item is as short;
+Defined results: a question, answer or item of fewer than ``words`` words is one
+shingle, found wherever its words stand in a row; null and empty texts match nothing;
 items without words are ignored; repeated items and rows match one by one; empty
 tables give no rows; texts are read whole.
 """
@@ -61,6 +62,16 @@ def split_item(text: str) -> tuple[list[str], int]:
     return whole, len(question)
 
 
+def _share(shingles: set[tuple], window: list[str], held: dict[int, set]) -> float:
+    """How much of a set of shingles of one length a window holds; short ones are compared with n-grams of their own length."""
+    if not shingles:
+        return 1.0
+    n = len(next(iter(shingles)))
+    if n not in held:
+        held[n] = {tuple(window[k : k + n]) for k in range(len(window) - n + 1)}
+    return len(shingles & held[n]) / len(shingles)
+
+
 class Index:
     """Postings of the items of a shard, with their BM25 weights and the largest weight of each block."""
 
@@ -155,10 +166,10 @@ class Index:
             lists = [x for x in lists if x[1] < len(x[0])]
         return out
 
-    def check(self, part: int, window: list[str]) -> tuple[float, float] | None:
-        held = self._shingles(window)
+    def check(self, part: int, window: list[str], held: dict[int, set]) -> tuple[float, float] | None:
+        """The shares of question and answer in a window; ``held`` keeps its n-grams by length."""
         q, a = self.questions[part], self.answers[part]
-        shares = tuple(len(x & held) / len(x) if x else 1.0 for x in (q, a))
+        shares = tuple(_share(x, window, held) for x in (q, a))
         return shares if min(shares) >= self.overlap - 1e-12 and (q or a) else None
 
     def matches(self, text: bytes) -> dict[int, tuple]:
@@ -167,11 +178,13 @@ class Index:
         get = self.terms.get
         terms = np.fromiter([get(w, 0) for w in words], np.int64, len(words))
         best: dict[int, tuple] = {}
+        last, own, passage, held = -1, set(), [], {}
         for window, block in self.live(terms):
-            at = window * self.length
-            own = set(terms[at : at + 2 * self.length].tolist())
+            if window != last:
+                at = window * self.length
+                last, own, passage, held = window, set(terms[at : at + 2 * self.length].tolist()), words[at : at + 2 * self.length], {}
             for part, score in self.retrieve(own, block):
-                if shares := self.check(part, words[at : at + 2 * self.length]):
+                if shares := self.check(part, passage, held):
                     best[part] = max(best.get(part, ()), (score, *shares))
         return best
 

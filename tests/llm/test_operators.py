@@ -160,6 +160,24 @@ def test_decontamination(spark):
                 want.append((i, k))
     assert [g for g in got if g[1] < 90] == sorted(want) and len(want) > 20
     assert matches(documents(spark, docs).limit(0), tests).count() == 0
+
+
+def test_short_questions_are_found(spark):
+    from tarn.llm.decontaminate import matches
+
+    items = [(1, "Inou on. On aned haat bele kima sodu."), (2, "Tiny one here"), (3, "Who am.\nNo."), (4, "Elsewhere now. On aned haat bele kima sodu.")]
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(k, "some words stand before " + t + " and others after it") for k, t in items] + [(9, "tiny Inou one on here who no am")]
+    assert sorted((r.doc_id, r.item_id) for r in matches(documents(spark, docs), tests).collect()) == [(k, k) for k, _ in items]
+
+
+def test_each_benchmark_item_is_found_verbatim(spark, sf_dir):
+    from tarn.llm.decontaminate import matches
+
+    tests = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    docs = [(r.item_id, "some words stand before " + r.text + " and others after it") for r in tests.collect()]
+    got = {(r.doc_id, r.item_id) for r in matches(documents(spark, docs), tests).collect()}
+    assert {(k, k) for k, _ in docs} <= got
     assert matches(documents(spark, docs), tests.limit(0)).count() == 0
 
 
