@@ -8,12 +8,16 @@ the item's score for itself less its heaviest words, as many as may be missing (
 missing word breaks a shingle at least). So no passage that would pass the check is
 lost in retrieval.
 
-Passages are windows of twice the longest item, one beginning each item length, so
-every contiguous occurrence lies whole in one. The largest weight of each word in each
+Passages are windows of three times the longest item or ``GAP``, one beginning each
+such length, so every occurrence lies whole in one, also with as many words between
+question and answer. The largest weight of each word in each
 block of items bounds what a block's items can score; blocks that can't reach the
 threshold are skipped, and in the others WAND walks the postings of the passage's
 words and skips the items that can't. What is retrieved is verified: of the question's shingles and of the answer's
 (the last sentence, where an item has more) ``overlap`` must occur in the passage.
+The shingles that join the two are the answer's; where both stand whole in the passage
+with other words between them, such as a label or choices, these don't count, unless
+both are shorter than ``words``.
 
 The items' index is sent to all tasks in shards of at most ``shard_items`` items of
 ``most_words`` words; a larger benchmark takes more passes, a longer item is cut into
@@ -40,6 +44,8 @@ from tarn.llm._common import texts
 K1, B = 1.2, 0.75
 #: Items in a block that has its own bound.
 BLOCK = 8
+#: Words between question and answer that never part them, where no item is longer.
+GAP = 64
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
@@ -83,10 +89,12 @@ class Index:
             for at in range(0, len(w), longest):
                 parts.append((item, w[at : at + longest], max(0, min(q - at, longest))))
         self.ids = [p[0] for p in parts]
-        self.length = max((len(p[1]) for p in parts), default=1)
+        self.length = max([GAP, *(len(p[1]) for p in parts)])
         self.questions = [self._shingles(w[:q]) for _, w, q in parts]
         # The shingles that join question and answer belong to the answer.
         self.answers = [self._shingles(w) - self.questions[k] for k, (_, w, _) in enumerate(parts)]
+        # Its own shingles, for answers that stand apart from the question; two short parts could do so anywhere.
+        self.apart = [self._shingles(w[q:]) if max(q, len(w) - q) >= words else set() for _, w, q in parts]
         frequency: dict[str, int] = {}
         for _, w, _ in parts:
             for x in set(w):
@@ -115,35 +123,41 @@ class Index:
             slices.append({})
             for x in p:
                 slices[-1].setdefault(x[0] // BLOCK, []).append(x)
-        self.slices = [{}, *slices]
+        self.slices = [{}, *({b: (p, max(x[1] for x in p)) for b, p in x.items()} for x in slices)]
         self.count = np.array([len(x) for x in self.slices], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.count)[:-1]])
         self.block = np.array([b for x in self.slices for b in x], np.int64)
-        self.bound = np.array([max(y[1] for y in p) for x in self.slices for p in x.values()])
+        self.bound = np.array([most for x in self.slices for _, most in x.values()])
         self.blocks = -(-len(parts) // BLOCK)
+        # The terms that each block holds.
+        self.held: list[set[int]] = [set() for _ in range(self.blocks)]
+        for t, x in enumerate(self.slices):
+            for b in x:
+                self.held[b].add(t)
 
     def _shingles(self, w: list[str]) -> set[tuple]:
         n = self.words
         return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
     def live(self, terms):
-        """(window, block) pairs whose bound reaches the threshold; windows are two neighbouring segments of ``length`` words.
+        """(window, block) pairs whose bound reaches the threshold; windows are three neighbouring segments of ``length`` words.
 
-        A block's bound for a segment is the sum of its maxima over the segment's distinct terms.
+        A block's bound for a window is the sum of its maxima over the window's distinct terms.
         """
-        segments = max(2, -(-len(terms) // self.length))
+        windows = max(3, -(-len(terms) // self.length)) - 2
         at = np.flatnonzero(terms)
-        own = np.unique(at // self.length * len(self.slices) + terms[at])
-        segment, term = own // len(self.slices), own % len(self.slices)
+        keys = np.concatenate([(at // self.length - k) * len(self.slices) + terms[at] for k in range(3)])
+        own = np.unique(keys[(keys >= 0) & (keys < windows * len(self.slices))])
+        window, term = own // len(self.slices), own % len(self.slices)
         many = self.count[term]
         total = int(many.sum())
         entry = np.repeat(self.first[term] - np.cumsum(many) + many, many) + np.arange(total)
-        bound = np.bincount(np.repeat(segment, many) * self.blocks + self.block[entry], self.bound[entry], segments * self.blocks).reshape(segments, self.blocks)
-        return np.argwhere(bound[:-1] + bound[1:] >= self.least).tolist()
+        bound = np.bincount(np.repeat(window, many) * self.blocks + self.block[entry], self.bound[entry], windows * self.blocks)
+        return np.argwhere(bound.reshape(windows, self.blocks) >= self.least).tolist()
 
     def retrieve(self, terms: set[int], block: int) -> list[tuple[int, float]]:
         """(part, score) of the parts of a block whose score reaches their threshold, for distinct terms, by WAND."""
-        lists = [[p, 0, max(x[1] for x in p)] for t in terms if (p := self.slices[t].get(block))]
+        lists = [[p, 0, most] for t in self.held[block] & terms for p, most in (self.slices[t][block],)]
         out = []
         while lists:
             lists.sort(key=lambda x: x[0][x[1]][0])
@@ -170,7 +184,11 @@ class Index:
         """The shares of question and answer in a window; ``held`` keeps its n-grams by length."""
         q, a = self.questions[part], self.answers[part]
         shares = tuple(_share(x, window, held) for x in (q, a))
-        return shares if min(shares) >= self.overlap - 1e-12 and (q or a) else None
+        if min(shares) >= self.overlap - 1e-12 and (q or a):
+            return shares
+        if q and self.apart[part] and shares[0] == 1.0 == _share(self.apart[part], window, held):
+            return 1.0, 1.0
+        return None
 
     def matches(self, text: bytes) -> dict[int, tuple]:
         """Each part that a text contains: (score, question share, answer share) of its best passage."""
@@ -182,7 +200,7 @@ class Index:
         for window, block in self.live(terms):
             if window != last:
                 at = window * self.length
-                last, own, passage, held = window, set(terms[at : at + 2 * self.length].tolist()), words[at : at + 2 * self.length], {}
+                last, own, passage, held = window, set(terms[at : at + 3 * self.length].tolist()), words[at : at + 3 * self.length], {}
             for part, score in self.retrieve(own, block):
                 if shares := self.check(part, passage, held):
                     best[part] = max(best.get(part, ()), (score, *shares))

@@ -171,6 +171,18 @@ def test_short_questions_are_found(spark):
     assert sorted((r.doc_id, r.item_id) for r in matches(documents(spark, docs), tests).collect()) == [(k, k) for k, _ in items]
 
 
+def test_answers_apart_from_their_questions_are_found(spark):
+    from tarn.llm.decontaminate import matches
+
+    items = [(1, "What is the name of the capital of France?\nParis"), (2, "Which of these five do not swim at all?\nthe old red hen and the cat"), (3, "Go on.\nNo more"), (4, " ".join(f"q{k}" for k in range(60)) + "\nyes")]
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    between = {1: "Answer:", 2: "A the fish B the frog C the duck D the eel Answer", 3: "then say", 4: " ".join(f"x{k}" for k in range(50))}
+    docs = [(100 * k + n, "before " * n + t.replace("\n", f" {between[k]} ") + " and after") for k, t in items for n in range(0, 100, 9)]
+    docs += [(900, "What is the name of the capital of Spain? Paris"), (901, "What is the name of the capital of France? It is large"), (902, "the old red hen and the cat do not swim")]
+    got = sorted((r.doc_id, r.item_id) for r in matches(documents(spark, docs), tests).collect())
+    assert got == sorted((100 * k + n, k) for k in (1, 2, 4) for n in range(0, 100, 9))
+
+
 def test_each_benchmark_item_is_found_verbatim(spark, sf_dir):
     from tarn.llm.decontaminate import matches
 
