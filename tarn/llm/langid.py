@@ -9,13 +9,15 @@ are made code-switched by joining stretches of documents of different languages:
 transitions are learned as well as staying.
 
 Prediction labels every word of a whole text with its marginal distribution; a
-document's distribution is the mean over its words, weighted by letters. Chains of any length
+document's distribution is the mean over its words, weighted by letters. Stretches of
+more than 64 characters without white space are cut at what isn't a letter, and every
+64 characters; all pieces count as words. Chains of any length
 are computed in blocks: products of transfer matrices give each block's entry, then
 all blocks go in step, so a batch of documents is a few array operations a step.
 
 ``sample_documents`` and ``sample_words`` bound the training sample: documents by the
 smallest hash of id, from all over the table, and from each a stretch of words that
-starts at a hashed place.
+starts at a hashed place, each word cut to 64 characters.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; rows
 are predicted one by one, repeated ones too; without labelled rows every prediction
@@ -25,6 +27,9 @@ the fold.
 
 from __future__ import annotations
 
+from itertools import groupby
+from unicodedata import category
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,18 +54,32 @@ def training_rows(docs: DataFrame, sample_documents: int, sample_words: int) ->
     chosen = labelled.where(F.col("o") <= last)
     words = chosen.select("lang", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"), "o", "doc_id")
     start = F.pmod(F.col("o"), F.greatest(F.lit(1), F.size("w") - sample_words)) + 1
-    rows = words.select("lang", F.array_join(F.transform(F.slice("w", start.cast("int"), sample_words), lambda w: F.left(w, F.lit(64))), " ").alias("t"), "o", "doc_id")
+    rows = words.select("lang", F.array_join(F.transform(F.slice("w", start.cast("int"), sample_words), lambda w: F.left(w, F.lit(LONGEST))), " ").alias("t"), "o", "doc_id")
     # Rows that share an id may be any number; as many as the sample stay.
     return sorted((r.t, r.lang) for r in rows.orderBy("o", "doc_id", "lang", "t").limit(sample_documents).collect())
 
 
+#: Characters of a word; longer ones are cut into pieces, all of which count.
+LONGEST = 64
+
 #: Marks that words are stripped of.
 MARKS = ".,;:!?\"'()[]#$%&*"
 
 
 def words_of(text: str) -> list[str]:
-    """Stretches without white space that hold a letter, in lower case and without marks around them."""
-    return [w for x in text.lower().split() if (w := x.strip(MARKS)).isalpha() or any(map(str.isalpha, w))]
+    """Stretches without white space that hold a letter, in lower case and without marks around them; long ones in pieces."""
+    words = [w for x in text.lower().split() if (w := x.strip(MARKS)).isalpha() or any(map(str.isalpha, w))]
+    if max(map(len, words), default=0) > LONGEST:
+        return [p for w in words for p in (pieces_of(w) if len(w) > LONGEST else (w,))]
+    return words
+
+
+def pieces_of(run: str):
+    """All runs of letters, with the accents and vowel signs on them, in pieces of at most ``LONGEST`` characters."""
+    for letters, own in groupby(run, lambda c: c.isalpha() or category(c)[0] == "M"):
+        if letters:
+            part = "".join(own)
+            yield from (p for k in range(0, len(part), LONGEST) if any(map(str.isalpha, p := part[k : k + LONGEST])))
 
 
 class Features:
@@ -79,7 +98,7 @@ class Features:
         return h
 
     def __call__(self, word: str) -> list[int]:
-        core = "".join(filter(str.isalpha, word[:64]))
+        core = "".join(filter(str.isalpha, word))
         bound = f"^{core}$"
         names = [f"p{bound[:n]}" for n in (2, 3, 4)] + [f"s{bound[-n:]}" for n in (2, 3, 4)]
         names += [bound[k : k + 2] for k in range(len(bound) - 1)] + [bound[k : k + 3] for k in range(len(bound) - 2)]
@@ -171,7 +190,7 @@ def train(rows: list[tuple[str, str]], *, rounds: int = 40, rate: float = 0.15,
         w, y = words_of(text), languages.index(lang)
         pieces += [(w[k : k + stretch], y) for k in range(0, len(w), stretch)]
         for x in w:
-            core = "".join(filter(str.isalpha, x[:64]))
+            core = "".join(filter(str.isalpha, x))
             if len(core) <= 4:
                 counts.setdefault(core, np.zeros(len(languages)))[y] += 1
     frequent = sorted(counts, key=lambda c: (-counts[c].sum(), c))[: 100 * len(languages)]

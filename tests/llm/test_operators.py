@@ -313,6 +313,19 @@ def test_language(spark, sf_dir):
 # urls
 
 
+def test_long_runs_are_labelled_whole(spark):
+    from tarn.llm.langid import identify, words_of
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("lang is not null").orderBy("doc_id").limit(400)
+    more = [(10**6 + r.doc_id, "0/" * 40 + "/".join(words_of(r.text))) for r in docs.limit(40).collect()]
+    got = {r.doc_id: r.lang_pred for r in identify(docs.unionAll(spark.createDataFrame([(*m, None) for m in more], "doc_id long, text string, lang string"))).collect()}
+    assert len({got[k] for k, _ in more}) > 1
+    assert sum(got[k] == got[k - 10**6] for k, _ in more) >= 38
+    for text in ("漢" * 1000, "नमस्ते" * 100, "a," * 90 + "b" * 150):
+        assert "".join(words_of(text)) == text.replace(",", "") and max(map(len, words_of(text))) <= 64
+    assert words_of("1," * 90) == [] and words_of("x" * 64) == ["x" * 64]
+
+
 def test_urls(spark):
     from tarn.llm.urls import judge
 
