@@ -7,6 +7,7 @@ behind its last encoded byte, so spans in the decoded text map back exactly.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +15,8 @@ import numpy as np
 URL = re.compile(rb"[A-Za-z0-9%+\-_.~:/?#\[\]@!$&'()*,;=]+")
 BASE64 = re.compile(rb"[A-Za-z0-9+/\-_](?:[\n\r\t]*[A-Za-z0-9+/\-_])*(?:[\n\r\t]*=){0,2}")
 BASE64_SPACED = re.compile(rb"[A-Za-z0-9+/\-_](?:[\n\r\t ]*[A-Za-z0-9+/\-_])*(?:[\n\r\t ]*=){0,2}")
+#: Budgets are for stretches of as many bytes as the reference's chunks have.
+STRETCH = 64 * 1024
 HEX = {c: int(chr(c), 16) for c in b"0123456789abcdefABCDEF"}
 SIX = {c: k for k, c in enumerate(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")} | {ord("-"): 62, ord("_"): 63}
 
@@ -32,20 +35,37 @@ class Decoded:
         return int(self.first[start]), int(self.behind[end - 1])
 
 
-def url_spans(data: bytes, least: int = 16, longest: int = 65536, most: int = 8, plus: bool = False) -> list[tuple[int, int]]:
-    """Runs of URL characters with an escape, split at ``longest``."""
-    out: list[tuple[int, int]] = []
+class Spans:
+    """Spans of a buffer, at most ``most`` that begin in each stretch of ``stretch`` bytes; ``dropped`` counts the others."""
+
+    def __init__(self, most: int, stretch: int):
+        self.most, self.stretch, self.kept, self.held, self.dropped = most, stretch, [], Counter(), 0
+
+    def add(self, start: int, end: int) -> None:
+        if self.held[start // self.stretch] < self.most:
+            self.held[start // self.stretch] += 1
+            self.kept.append((start, end))
+        else:
+            self.dropped += 1
+
+    def told(self, dropped: Counter | None, kind: str) -> list[tuple[int, int]]:
+        if dropped is not None and self.dropped:
+            dropped[kind] += self.dropped
+        return self.kept
+
+
+def url_spans(data: bytes, least: int = 16, longest: int = 65536, most: int = 8, plus: bool = False, dropped: Counter | None = None) -> list[tuple[int, int]]:
+    """Runs of URL characters with an escape, split at ``longest``; ``most`` of each ``STRETCH``."""
+    out = Spans(most, STRETCH)
     if b"%" not in data and not (plus and b"+" in data):
-        return out
+        return []
     for m in URL.finditer(data):
         for at in range(m.start(), m.end(), longest):
             end = min(at + longest, m.end())
             piece = data[at:end]
             if end - at >= least and (b"%" in piece or (plus and b"+" in piece)):
-                out.append((at, end))
-                if len(out) == most:
-                    return out
-    return out
+                out.add(at, end)
+    return out.told(dropped, "URL spans")
 
 
 def url_decode(data: bytes, plus: bool = False) -> Decoded:
@@ -65,17 +85,15 @@ def url_decode(data: bytes, plus: bool = False) -> Decoded:
     return Decoded(bytes(out), np.array(first, np.int64), np.array(behind, np.int64))
 
 
-def base64_spans(data: bytes, least: int = 32, longest: int = 65536, most: int = 8, spaces: bool = False) -> list[tuple[int, int]]:
-    """Runs of the two base64 alphabets with white space inside and up to two pads."""
-    out = []
+def base64_spans(data: bytes, least: int = 32, longest: int = 65536, most: int = 8, spaces: bool = False, dropped: Counter | None = None) -> list[tuple[int, int]]:
+    """Runs of the two base64 alphabets with white space inside and up to two pads; ``most`` of each ``STRETCH``."""
+    out = Spans(most, STRETCH)
     for m in (BASE64_SPACED if spaces else BASE64).finditer(data):
         for at in range(m.start(), m.end(), longest):
             end = min(at + longest, m.end())
-            if sum(c in SIX or c == 0x3D for c in data[at:end]) >= least:
-                out.append((at, end))
-                if len(out) == most:
-                    return out
-    return out
+            if end - at >= least and sum(c in SIX or c == 0x3D for c in data[at:end]) >= least:
+                out.add(at, end)
+    return out.told(dropped, "base64 spans")
 
 
 def base64_decode(data: bytes, shift: int = 0) -> Decoded | None:
@@ -113,3 +131,15 @@ def utf16_decode(data: bytes, big: bool) -> Decoded:
         at = min(at + size, len(data))
         behind += [at] * len(b)
     return Decoded(bytes(out), np.array(first, np.int64), np.array(behind, np.int64))
+
+
+def utf16_decode_long(data: bytes, big: bool, size: int) -> Decoded:
+    """``utf16_decode`` of successive pieces of about ``size`` bytes, joined; no pair of surrogates is cut."""
+    parts, at = [], 0
+    while at == 0 or at < len(data) & ~1:
+        end = min(len(data), at + max(4, size & ~1))
+        if end < len(data) - 1 and 0xD8 <= data[end - 2 if big else end - 1] <= 0xDB:
+            end -= 2
+        parts.append((at, utf16_decode(data[at:end], big)))
+        at = max(end, 1)
+    return Decoded(b"".join(d.data for _, d in parts), np.concatenate([d.first + k for k, d in parts]).astype(np.int64), np.concatenate([d.behind + k for k, d in parts]).astype(np.int64))

@@ -6,6 +6,10 @@ searched for encoded spans, whose decoded bytes are scanned the same way if they
 an anchor at all, to a bounded depth. Findings are deduplicated exactly, a decoded one
 before the raw one it covers.
 
+Objects are scanned whole. The budgets of ``Tuning`` for encoded spans, decoded bytes
+and findings hold for each 64 KiB of an object, as the reference's do for each chunk;
+what goes beyond is dropped, counted in ``Engine.dropped`` and logged by each task.
+
 There is no shuffle: an object is one row, a finding is small, and content never
 leaves the scan. Secrets are reported by their SHA-256 alone.
 """
@@ -13,6 +17,7 @@ leaves the scan. Secrets are reported by their SHA-256 alone.
 from __future__ import annotations
 
 import hashlib
+import logging
 import math
 import re
 from collections import Counter
@@ -40,6 +45,7 @@ class Tuning:
     max_windows: int = 16
     pressure_gap: int = 128
     max_hits: int = 2048
+    #: Bytes of a UTF-16 window that are decoded at a time; all of it is.
     max_utf16_bytes: int = 64 * 1024
     max_depth: int = 3
     max_decoded_bytes: int = 512 * 1024
@@ -111,6 +117,8 @@ class Engine:
 
         self.rules = list(built_in() if rules is None else rules)
         self.tuning = tuning
+        #: What the last scan dropped over its budgets, by kind.
+        self.dropped: Counter = Counter()
         self.patterns = [re.compile(portable(r.pattern, "python").encode("latin-1")) for r in self.rules]
         self.automata = {}
         for variant, widen in (("raw", lambda a: a), ("utf16le", lambda a: bytes(x for c in a for x in (c, 0))), ("utf16be", lambda a: bytes(x for c in a for x in (0, c)))):
@@ -134,7 +142,8 @@ class Engine:
     def scan(self, data: bytes) -> list[Finding]:
         t, out = self.tuning, []
         queue: list[tuple[bytes, tuple, tuple[int, int] | None, codecs.Decoded | None, int]] = [(data, (), None, None, 0)]
-        budget, items, seen = t.max_decoded_bytes, 0, set()
+        # Budgets are for each stretch of the object, as the reference has them for each chunk.
+        spent, items, seen, dropped = Counter(), Counter(), set(), Counter()
         for buffer, steps, parent, decoded, depth in queue:
             def to_root(s: int, e: int, parent=parent, decoded=decoded) -> tuple[int, int]:
                 if parent is None:
@@ -148,25 +157,35 @@ class Engine:
             out += self._buffer(buffer, steps, to_root)
             if depth >= t.max_depth or (t.only_if_none and len(out) > before):
                 continue
-            for kind, s, e, d in self._decodes(buffer):
-                items += 1
-                budget -= len(d.data)
-                if items > t.max_work_items or budget < 0:
-                    break
+            for kind, s, e, d in self._decodes(buffer, dropped):
                 root = to_root(s, e)
+                own = root[0] // codecs.STRETCH
+                items[own] += 1
+                spent[own] += len(d.data)
+                if items[own] > t.max_work_items or spent[own] > t.max_decoded_bytes:
+                    dropped["decoded buffers"] += 1
+                    continue
                 key = (root, hashlib.blake2b(d.data, digest_size=16).digest())
                 if key in seen or (t.anchors_in_decoded and not self.has_anchor(d.data)):
                     continue
                 seen.add(key)
                 # Spans map exactly through one layer; deeper ones point to their outermost span.
                 queue.append((d.data, (*steps, (kind, s, e)), root, d if parent is None else None, depth + 1))
-        return self._deduplicated(out)[: t.max_findings]
+        kept, held = [], Counter()
+        for f in self._deduplicated(out):
+            held[f.root[0] // codecs.STRETCH] += 1
+            if held[f.root[0] // codecs.STRETCH] <= t.max_findings:
+                kept.append(f)
+            else:
+                dropped["findings"] += 1
+        self.dropped = dropped
+        return kept
 
-    def _decodes(self, buffer: bytes):
+    def _decodes(self, buffer: bytes, dropped: Counter):
         t = self.tuning
-        for s, e in codecs.url_spans(buffer, t.url_least, most=t.max_spans, plus=t.plus_to_space):
+        for s, e in codecs.url_spans(buffer, t.url_least, most=t.max_spans, plus=t.plus_to_space, dropped=dropped):
             yield "url_percent", s, e, codecs.url_decode(buffer[s:e], t.plus_to_space)
-        for s, e in codecs.base64_spans(buffer, t.base64_least, most=t.max_spans, spaces=t.base64_spaces):
+        for s, e in codecs.base64_spans(buffer, t.base64_least, most=t.max_spans, spaces=t.base64_spaces, dropped=dropped):
             for shift in codecs.base64_shifts(buffer[s:e], t.base64_least):
                 d = codecs.base64_decode(buffer[s:e], shift)
                 if d and d.data:
@@ -235,8 +254,8 @@ class Engine:
         out = []
         for parity in (0, 1):
             start = window[0] + parity
-            piece = data[start : min(window[1], start + self.tuning.max_utf16_bytes)]
-            d = codecs.utf16_decode(piece, variant == "utf16be")
+            piece = data[start : window[1]]
+            d = codecs.utf16_decode_long(piece, variant == "utf16be", self.tuning.max_utf16_bytes)
             for match, secret, text in self._matches(k, d.data, 0, len(d.data), 0):
                 s, e = d.span(*match)
                 out.append(self._finding(k, variant, secret, to_root(start + s, start + e), (*steps, (variant, start, start + len(piece))), text))
@@ -266,16 +285,21 @@ def scan(objects: DataFrame, rules: Iterable[Rule] | None = None, tuning: Tuning
         if key not in _engines:
             _engines.clear()
             _engines[key] = Engine(own, tuning)
-        engine = _engines[key]
+        engine, dropped, objects_over = _engines[key], Counter(), 0
         for batch in batches:
             rows = []
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = content.as_buffer().to_pybytes() if content.is_valid else b""
-                for f in engine.scan(data):
+                found = engine.scan(data)
+                if engine.dropped:
+                    dropped, objects_over = dropped + engine.dropped, objects_over + 1
+                for f in found:
                     rows.append({"object_id": name, "rule_id": f.rule_id, "rule": f.rule, "variant": f.variant, "span_start": f.span[0], "span_end": f.span[1], "root_start": f.root[0], "root_end": f.root[1],
                                  "decode_steps": [{"kind": a, "start": b, "end": c} for a, b, c in f.steps], "norm_hash": f.norm_hash})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
+        if objects_over:
+            logging.getLogger(__name__).warning("%d objects went over the budgets of their stretches, dropped: %s", objects_over, dict(dropped))
 
     return objects.select(F.col(id_col).cast("string").alias("object_id"), F.col(content_col).cast("binary").alias("content")).mapInArrow(run, SCHEMA)
 

@@ -91,6 +91,34 @@ def test_chunks_find_what_whole_objects_do(spark):
     assert pieces == whole and len(whole) == 60
 
 
+def token(k):
+    return b"TOK0_" + b"%08d" % k
+
+
+def test_budgets_are_for_each_stretch_of_an_object(spark):
+    blank = b". " * 20_000
+    for coded in (lambda x: b"value=" + b"".join(b"%%%02X" % c for c in x), lambda x: base64.b64encode(b"padding " + x + b" more padding")):
+        data = b"".join(b" " + coded(token(k)) + b" " + blank for k in range(30))
+        assert len(found(data, SIMPLE)) >= 30 and len({f[2][0] // len(blank) for f in found(data, SIMPLE)}) == 30
+        engine = Engine(SIMPLE)
+        assert engine.scan(b" ".join(coded(token(k)) for k in range(30))) and engine.dropped
+    many = b" ".join(token(k) for k in range(20_000))
+    objects = spark.createDataFrame([("a", bytearray(many))], "object_id string, content binary")
+    assert scan(objects, SIMPLE).count() == 20_000
+    assert len(found(many, SIMPLE, max_findings=10)) == 10 * -(-len(many) // codecs.STRETCH)
+
+
+def test_long_utf16_windows_are_read_whole():
+    text = " ".join(token(k).decode() + "\U0001f511" for k in range(6000))
+    for name in ("utf-16-le", "utf-16-be"):
+        data = text.encode(name)
+        assert {f[2][0] for f in found(data, SIMPLE)} >= {len(text[: m.start()].encode(name)) for m in re.finditer("TOK0", text)}
+        for size in (4, 6, 64, 1000, 1 << 20):
+            a, b = codecs.utf16_decode(data[:3001], name == "utf-16-be"), codecs.utf16_decode_long(data[:3001], name == "utf-16-be", size)
+            assert a.data == b.data and (a.first == b.first).all() and (a.behind == b.behind).all()
+    assert codecs.utf16_decode_long(b"", False, 64).data == b"" == codecs.utf16_decode_long(b"a", False, 64).data
+
+
 def test_nulls_and_empty_objects(spark):
     rows = spark.createDataFrame([("a", None), (None, bytearray(TOKEN)), ("c", bytearray(b""))], "object_id string, content binary")
     assert [(r.object_id, r.rule) for r in scan(rows).collect()] == [(None, "github-pat")]
