@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm import decontaminate, langid, neardup, packing, queries, secrets
 from tarn.llm._common import scratch, table
+from tarn.llm.spans import MARK
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -49,10 +50,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each secret in the text replaced by its kind in brackets."""
-    scanned = secrets.scan(docs).where(F.size("found") > 0).select(F.col("doc_id").alias("id"), F.col("text").alias("old"), "found")
-    masked = scanned.select("id", "old", secrets.masked("old", "found").alias("new")).distinct()
-    same = docs.doc_id.eqNullSafe(masked.id) & (F.coalesce(docs.text, F.lit("")) == masked.old)
-    out = docs.join(masked, same, "left").withColumn("text", F.coalesce("new", "text"))
+    # Masks are set in the row that was scanned; ``odd`` is the text where the scan reads another one.
+    odd = F.when(F.col("text").isNull() | F.contains("text", F.lit(MARK)), F.struct("text")).alias("odd")
+    scanned = secrets.scan(docs.select(*COLUMNS, odd), keep=("lang", "source", "n_chars", "odd"))
+    own = F.when(F.col("row.odd").isNotNull(), F.col("row.odd.text")).otherwise(F.col("text"))
+    scanned = scanned.select("doc_id", own.alias("text"), "found", "row.lang", "row.source", "row.n_chars")
+    new = scanned.withColumn("new", F.when(F.size("found") > 0, secrets.masked("text", "found")))
+    out = new.withColumn("text", F.coalesce("new", "text"))
     return out.withColumn("n_chars", F.when(F.col("new").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -24,7 +24,6 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm._common import texts
 from tarn.llm.spans import clean, joined, with_matches
 
 
@@ -164,9 +163,15 @@ def candidates(index: DataFrame, queries: dict[str, list[frozenset]]) -> DataFra
     return whole.groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, found): for each row all spans (kind, start, end, value), by start, then by the order of the rules."""
-    docs = texts(docs, id_col, text_col).select("doc_id", clean(F.col("text")).alias("text"))
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, found): for each row all spans (kind, start, end, value), by start, then by the order of the rules.
+
+    The text is as scanned (see ``clean``). The row's columns in ``keep`` come along as the struct ``row``.
+    """
+    row = [F.struct(*keep).alias("row")] if keep else []
+    carried = ["row"] if keep else []
+    docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *row)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), clean(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"), *carried)
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     assert all(len(c) < 63 for q in queries.values() for c in q)
     if queries:
@@ -189,7 +194,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, *, id_col: str
         docs = with_matches(docs, "text", f"m{n}", r.java or r.pattern, guard)
         kept = F.filter(f"m{n}", enough(r)) if r.least else F.col(f"m{n}")
         found.append(F.transform(kept, place(n, r)))
-    return docs.select("doc_id", "text", F.array_sort(F.concat(*found)).alias("found"))
+    return docs.select("doc_id", "text", F.array_sort(F.concat(*found)).alias("found"), *carried)
 
 
 def report(found: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:

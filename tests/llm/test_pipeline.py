@@ -55,5 +55,14 @@ def test_secrets_are_masked(stages):
             assert after[i] == r
 
 
+def test_secrets_beside_noncharacters_are_masked(spark, sf_dir):
+    key = "password = hunter2hunter2"
+    texts = [f"\uffff {key} \uffff\ufffe", f"{key} \ufffe", "\uffff no secret", None, "", f"\uffff{key}"]
+    docs = spark.createDataFrame([(k if k < 5 else None, t, "en", "web", len(t) if t is not None else 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.secret_masks(spark, docs, sf_dir).collect()}
+    assert [got[k if k < 5 else None].text for k in range(6)] == ["\uffff [assign] \uffff\ufffe", "[assign] \ufffe", "\uffff no secret", None, "", "\uffff[assign]"]
+    assert got[0].n_chars == len(got[0].text) and got[2] == docs.where("doc_id = 2").first() and got[0].source == "web"
+
+
 def test_packing_loses_nothing(stages):
     assert check_pieces(stages[5].collect(), [(r.doc_id, r.text) for r in stages[4].collect()]) == 0
