@@ -12,12 +12,16 @@ revisit; payloads below ``least`` bytes are stored like all but never revisited.
 Defined results: a null payload is an empty one; a null url is written without a
 target; rows that share an id are records of their own (the first of them by url is
 the response when they carry the largest id); a record with a null id is a response
-if no other has its payload; header fields end at line ends, so
-line ends in urls are percent-encoded; empty tables give empty archives.
+if no other has its payload; rows that are equal in id, url and payload, the largest id
+among them, are one response record, repeated; header fields end at line ends, so
+line ends in urls are percent-encoded; other columns are left out, whatever their names;
+empty tables give empty archives; payloads of any length are stored whole.
 """
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,25 +39,32 @@ def _bytes(x: Column) -> Column:
     return F.coalesce(F.encode(x.cast("string"), "UTF-8"), F.lit(b""))
 
 
-def _header(kind: Column, r: str) -> Column:
-    """The exact bytes before a record's block, as text."""
+#: Fixed value: what a revisit record shares with the one it refers to.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+
+
+def _header(kind: Column, r: str, date: str) -> Column:
+    """The exact bytes before a record's block, as text. A response is named by its page, url and payload, a revisit at random."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     url = F.regexp_replace(F.regexp_replace(f"{r}.url", "\r", "%0D"), "\n", "%0A")
-    uid = lambda x: F.concat(F.lit("<urn:page:"), x, F.lit(">"))
+    uid = lambda page, tail: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), tail, F.lit(">"))
+    response = lambda page, url: uid(page, F.md5(F.concat_ws("\n", F.coalesce(url, F.lit("")), "digest")))
     return F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", kind),
-        line("WARC-Record-ID", uid(F.coalesce(F.col(f"{r}.page_id").cast("string"), F.lit("null")))),
+        line("WARC-Record-ID", F.when(kind == "revisit", uid(F.col(f"{r}.page_id"), F.uuid())).otherwise(response(F.col(f"{r}.page_id"), F.col(f"{r}.url")))),
+        line("WARC-Date", F.lit(date)),
         F.coalesce(line("WARC-Target-URI", url), F.lit("")),
-        F.when(kind == "revisit", line("WARC-Refers-To", uid(F.col("response_id").cast("string")))).otherwise(F.lit("")),
+        F.when(kind == "revisit", F.concat(line("WARC-Refers-To", response(F.col("response_id"), F.col("response_url"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col(f"{r}.sha1")))),
         line("Content-Length", F.when(kind == "revisit", F.lit("0")).otherwise(F.col(f"{r}.size").cast("string"))),
         F.lit("\r\n"),
     )
 
 
-def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> None:
-    """Write the archive of ``pages`` to ``path``."""
+def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, date: str | None = None) -> None:
+    """Write the archive of ``pages`` to ``path``; ``date`` is that of the records, now if it isn't given."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = _bytes(pages[payload_col])
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"))
     keyed = rows.select("page_id", "url", F.sha2("payload", 256).alias("digest"), F.sha1("payload").alias("sha1"), F.length("payload").cast("long").alias("size"))
@@ -67,7 +78,7 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
     both = k.join(g, "digest")
     is_response = (F.col("k.size") < least) | (F.col("k.page_id").eqNullSafe(F.col("g.response_id")) & (F.coalesce("k.url", F.lit("")) == F.col("g.response_url")))
     kind = F.when(is_response, "response").otherwise("revisit")
-    both.select(F.col("k.page_id").alias("page_id"), "digest", _header(kind, "k").alias("header")).write.parquet(f"{path}/headers")
+    both.select(F.col("k.page_id").alias("page_id"), "digest", _header(kind, "k", date).alias("header")).write.parquet(f"{path}/headers")
     # The holders' rows alone keep their bytes. They are dealt by all of the key, which the removal of repeated rows needs too, so payloads move once.
     name = lambda x: F.coalesce(F.col(x).cast("string"), F.lit("null"))
     key = ["digest", "page_key", "url_key"]
@@ -109,7 +120,7 @@ def parse(raw_records: DataFrame, record_col: str = "record") -> DataFrame:
 def report(spark: SparkSession, path: str) -> DataFrame:
     """What the archive says of each record, with length and digest of the payload that was read back."""
     facts = payloads(spark, path).select("digest", F.length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"))
-    told = spark.read.parquet(f"{path}/headers").select("page_id", "digest", field("WARC-Type").alias("record_type"), F.regexp_extract(field("WARC-Refers-To"), ":page:(-?[0-9]+)>", 1).cast("long").alias("refers_to"))
+    told = spark.read.parquet(f"{path}/headers").select("page_id", "digest", field("WARC-Type").alias("record_type"), F.regexp_extract(field("WARC-Refers-To"), ":page:(-?[0-9]+):", 1).cast("long").alias("refers_to"))
     return told.join(facts, "digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
