@@ -15,14 +15,16 @@ more than 64 characters without white space are cut at what isn't a letter, and
 are computed in blocks: products of transfer matrices give each block's entry, then
 all blocks go in step, so a batch of documents is a few array operations a step.
 
-``sample_documents`` and ``sample_words`` bound the training sample: documents by the
-smallest hash of id, from all over the table, and from each a stretch of words that
-starts at a hashed place, each word cut to 64 characters.
+``sample_documents`` and ``sample_words`` bound the training sample: of each language the
+same number of documents, one at least, by the smallest hash of id, from all over the
+table, and from each a stretch of words that starts at a hashed place, each word cut to
+64 characters. The languages are those of all labelled rows.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; rows
 are predicted one by one, repeated ones too; without labelled rows every prediction
 is ``und``; an empty table gives no rows; a null id counts as the empty string for
-the fold.
+the fold; of languages with equal probabilities the first by name is told; columns other
+than id, text and language clash with nothing: ``keep`` carries them in a struct.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from unicodedata import category
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 UNKNOWN = "und"
 DIMENSIONS = 1 << 16
@@ -47,16 +51,20 @@ def training_rows(docs: DataFrame, sample_documents: int, sample_words: int) ->
     """(stretch of text, lang) of a bounded sample of labelled rows outside the held-out fold."""
     order = F.xxhash64(F.lit("train"), "doc_id")
     labelled = docs.where(docs.lang.isNotNull() & docs.text.isNotNull() & (fold(docs.doc_id) != 2)).withColumn("o", order)
-    # The hashes alone are sorted; then the texts of the chosen rows are cut before they are.
-    last = labelled.select("o").orderBy("o").limit(sample_documents).agg(F.max("o")).first()[0]
-    if last is None:
+    languages = labelled.select("lang").distinct().count()
+    if not languages:
         return []
-    chosen = labelled.where(F.col("o") <= last)
+    each = max(1, sample_documents // languages)
+    # The hashes alone are ranked; then the texts of the chosen rows are cut before they are moved.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("o"))
+    last = labelled.select("lang", "o").withColumn("k", place).where(F.col("k") <= each).groupBy("lang").agg(F.max("o").alias("last"))
+    chosen = labelled.join(F.broadcast(last), "lang").where("o <= last")  # a row for each language
     words = chosen.select("lang", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"), "o", "doc_id")
     start = F.pmod(F.col("o"), F.greatest(F.lit(1), F.size("w") - sample_words)) + 1
     rows = words.select("lang", F.array_join(F.transform(F.slice("w", start.cast("int"), sample_words), lambda w: F.left(w, F.lit(LONGEST))), " ").alias("t"), "o", "doc_id")
     # Rows that share an id may be any number; as many as the sample stay.
-    return sorted((r.t, r.lang) for r in rows.orderBy("o", "doc_id", "lang", "t").limit(sample_documents).collect())
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id", "t"))
+    return sorted((r.t, r.lang) for r in rows.withColumn("k", place).where(F.col("k") <= each).select("t", "lang").collect())
 
 
 #: Characters of a word; longer ones are cut into pieces, all of which count.
@@ -229,12 +237,16 @@ def train(rows: list[tuple[str, str]], *, rounds: int = 40, rate: float = 0.15,
         by_word = np.stack([np.bincount(which, (gold - p)[:, j], len(own)) for j in range(s)], 1)
         slope = np.stack([np.bincount(column, by_word[row, j], DIMENSIONS) for j in range(s)], 1)
         e = np.exp(emissions - emissions.max(1, keepdims=True))
-        pair = alpha[inner - 1][:, :, None] * np.exp(model.moves - model.moves.max()) * (e[inner] * beta[inner])[:, None, :]
-        pair /= pair.sum((1, 2), keepdims=True)
+        # Expected moves, in steps of bounded size.
+        moved, turn, step = np.zeros((s, s)), np.exp(model.moves - model.moves.max()), max(1, (1 << 22) // (s * s))
+        for k in range(0, len(inner), step):
+            at = inner[k : k + step]
+            pair = alpha[at - 1][:, :, None] * turn * (e[at] * beta[at])[:, None, :]
+            moved += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
         told = np.zeros((s, s))
         np.add.at(told, (labels[inner - 1], labels[inner]), 1)
         model.weights = adam("weights", model.weights, slope / n - decay * model.weights, t)
-        model.moves = adam("moves", model.moves, (told - pair.sum(0)) / n - decay * model.moves, t)
+        model.moves = adam("moves", model.moves, (told - moved) / n - decay * model.moves, t)
         model.begin = adam("begin", model.begin, (gold - p)[firsts].sum(0) / n - decay * model.begin, t)
     return model
 
@@ -262,13 +274,14 @@ class Emissions(dict):
 _emissions: dict[str, Emissions] = {}
 
 
-def predict(docs: DataFrame, model: Model | None, key: str = "") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of each row by its text alone."""
-    docs = docs.select("doc_id", "text", (fold(docs.doc_id) == 2).alias("held_out"))
+def predict(docs: DataFrame, model: Model | None, key: str = "", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of each row by its text alone, and the ``carried`` columns."""
+    docs = docs.select("doc_id", "text", (fold(docs.doc_id) == 2).alias("held_out"), *carried)
     if model is None:
-        return docs.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *carried)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["doc_id", "held_out", "lang_pred", "score"]
+    names = ["doc_id", "held_out", "lang_pred", "score", *carried]
+    schema = StructType([*docs.select("doc_id", "held_out").schema, StructField("lang_pred", StringType()), StructField("score", DoubleType()), *docs.select(*carried).schema])
 
     def run(batches):
         import numpy as np
@@ -299,9 +312,9 @@ def predict(docs: DataFrame, model: Model | None, key: str = "") -> DataFrame:
                 mean[sizes > 0] = sums / sums.sum(1, keepdims=True)
             best = mean.argmax(1)
             lang = [model.languages[b] if n else UNKNOWN for b, n in zip(best, sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lang, pa.string()), pa.array(np.minimum(mean.max(1), 1.0))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lang, pa.string()), pa.array(np.minimum(mean.max(1), 1.0)), *batch.columns[3:]], names)
 
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.mapInArrow(run, schema)
 
 
 def _small(batches, most: int = 4 << 20):
@@ -318,10 +331,11 @@ def _small(batches, most: int = 4 << 20):
             yield batch.slice(at)
 
 
-def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_documents: int = 1500, sample_words: int = 60) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for each row of ``docs``, learned from its own labelled rows."""
+def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_documents: int = 1500, sample_words: int = 60, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for each row of ``docs``, learned from its own labelled rows; the row's columns in ``keep`` come along as the struct ``row``."""
     import uuid
 
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
+    row = [F.struct(*[docs[c] for c in keep]).alias("row")] if keep else []
+    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"), *row)
     model = train(training_rows(docs, sample_documents, sample_words))
-    return predict(docs, model, uuid.uuid4().hex)
+    return predict(docs, model, uuid.uuid4().hex, ("row",) if keep else ())
