@@ -19,14 +19,16 @@ The shingles that join the two are the answer's; where both stand whole in the p
 with other words between them, such as a label or choices, these don't count, unless
 both are shorter than ``words``.
 
-The items' index is sent to all tasks in shards of at most ``shard_items`` items of
-``most_words`` words; a larger benchmark takes more passes, a longer item is cut into
-parts that all count as the item.
+The items' index is sent to all tasks in shards of at most ``shard_items`` different
+texts and about ``shard_bytes`` bytes; a larger benchmark takes more passes. An item of
+more than ``most_words`` words is cut into parts, and found if the parts that are found
+make up ``overlap`` of its words.
 
 Defined results: a question, answer or item of fewer than ``words`` words is one
 shingle, found wherever its words stand in a row; null and empty texts match nothing;
-items without words are ignored; repeated items and rows match one by one; empty
-tables give no rows; texts are read whole.
+items without words are ignored; items without an id are found as all others, with a null
+id; repeated items and rows match one by one; other columns are left out, whatever their
+names; empty tables give no rows; texts are read whole, a stretch of windows at a time.
 """
 
 from __future__ import annotations
@@ -44,8 +46,11 @@ from tarn.llm._common import texts
 K1, B = 1.2, 0.75
 #: Items in a block that has its own bound.
 BLOCK = 8
+#: Bounds of blocks that are looked at together, a window's at least.
+CELLS = 1 << 18
 #: Words between question and answer that never part them, where no item is longer.
 GAP = 64
+FOUND = "doc_id long, digest string, score double, question_overlap double, answer_overlap double"
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
@@ -81,7 +86,7 @@ def _share(shingles: set[tuple], window: list[str], held: dict[int, set]) -> flo
 class Index:
     """Postings of the items of a shard, with their BM25 weights and the largest weight of each block."""
 
-    def __init__(self, items: list[tuple[int, str]], words: int, overlap: float, longest: int):
+    def __init__(self, items: list[tuple[str, str]], words: int, overlap: float, longest: int):
         self.ids, self.words, self.overlap = [], words, overlap
         parts = []
         for item, text in sorted(items, key=lambda x: (x[0], x[1])):
@@ -89,6 +94,10 @@ class Index:
             for at in range(0, len(w), longest):
                 parts.append((item, w[at : at + longest], max(0, min(q - at, longest))))
         self.ids = [p[0] for p in parts]
+        self.sizes = [len(p[1]) for p in parts]
+        self.whole: dict = {}
+        for item, w, _ in parts:
+            self.whole[item] = self.whole.get(item, 0) + len(w)
         self.length = max([GAP, *(len(p[1]) for p in parts)])
         self.questions = [self._shingles(w[:q]) for _, w, q in parts]
         # The shingles that join question and answer belong to the answer.
@@ -144,7 +153,14 @@ class Index:
 
         A block's bound for a window is the sum of its maxima over the window's distinct terms.
         """
-        windows = max(3, -(-len(terms) // self.length)) - 2
+        windows, step = max(3, -(-len(terms) // self.length)) - 2, max(1, CELLS // self.blocks)
+        for start in range(0, windows, step):
+            many = min(step, windows - start)
+            part = terms[start * self.length : (start + many + 2) * self.length]
+            for window, block in self._live(part, many):
+                yield window + start, block
+
+    def _live(self, terms, windows: int) -> list[list[int]]:
         at = np.flatnonzero(terms)
         keys = np.concatenate([(at // self.length - k) * len(self.slices) + terms[at] for k in range(3)])
         own = np.unique(keys[(keys >= 0) & (keys < windows * len(self.slices))])
@@ -190,7 +206,7 @@ class Index:
             return 1.0, 1.0
         return None
 
-    def matches(self, text: bytes) -> dict[int, tuple]:
+    def parts(self, text: bytes) -> dict[int, tuple]:
         """Each part that a text contains: (score, question share, answer share) of its best passage."""
         words = tokens(text)
         get = self.terms.get
@@ -206,22 +222,64 @@ class Index:
                     best[part] = max(best.get(part, ()), (score, *shares))
         return best
 
+    def matches(self, text: bytes) -> dict[str, tuple]:
+        """Each item that a text contains: (score, question share, answer share) of its best passage."""
+        out: dict[str, tuple] = {}
+        held: dict[str, int] = {}
+        for part, told in self.parts(text).items():
+            item = self.ids[part]
+            out[item] = max(out.get(item, ()), told)
+            held[item] = held.get(item, 0) + self.sizes[part]
+        return {item: told for item, told in out.items() if held[item] >= self.overlap * self.whole[item] - 1e-9}
+
+
+def _indexes(items: DataFrame, item_text_col: str, words: int, overlap: float, shard_items: int, shard_bytes: int, most_words: int):
+    """A broadcast index for each shard of the different texts of ``items``, by the SHA-256 of the text."""
+    spark = items.sparkSession
+    tests = _with_words(items.select(items[item_text_col].cast("string").alias("text"))).distinct().select("text", F.sha2("text", 256).alias("digest"))
+    size = tests.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    shards = max(1, -(-size.n // max(1, shard_items // 2)), -(-(size.bytes or 0) // max(1, shard_bytes // 2)))
+    for shard in range(shards):
+        own, last = tests.where(F.pmod(F.xxhash64("digest"), F.lit(shards)) == shard), ""
+        while rows := own.where(F.col("digest") > last).orderBy("digest").limit(shard_items).collect():
+            last = rows[-1].digest
+            yield spark.sparkContext.broadcast(Index([(r.digest, r.text) for r in rows], words, overlap, most_words))
+            if len(rows) < shard_items:
+                break
 
-def matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", words: int = 5, overlap: float = 0.7, shard_items: int = 20_000, most_words: int = 512) -> DataFrame:
-    """A row for each row of ``docs`` and each item it contains."""
-    spark = docs.sparkSession
+
+def _with_words(items: DataFrame) -> DataFrame:
+    return items.where("text rlike '[^ \\t-\\r]'")
+
+
+def matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", words: int = 5, overlap: float = 0.7, shard_items: int = 20_000, shard_bytes: int = 16 << 20, most_words: int = 512) -> DataFrame:
+    """A row for each row of ``docs`` and each row of ``items`` it contains."""
     docs = texts(docs, id_col, text_col)
-    tests = items.select(items[item_id_col].cast("long").alias("item_id"), items[item_text_col].cast("string").alias("text")).where("item_id is not null and text rlike '[^ \\t-\\r]'")
-    shards = max(1, -(-tests.count() // (shard_items // 2)))
     found = None
-    for shard in range(shards):
-        own = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).limit(shard_items + 1).collect()
-        assert len(own) <= shard_items, "a shard of test items is larger than its bound"
-        index = Index([(r.item_id, r.text) for r in own], words, overlap, most_words)
-        shared = spark.sparkContext.broadcast(index)
-        part = docs.mapInArrow(_search(shared), SCHEMA)
+    for shared in _indexes(items, item_text_col, words, overlap, shard_items, shard_bytes, most_words):
+        part = docs.mapInArrow(_search(shared), FOUND)
         found = part if found is None else found.unionAll(part)
-    return found
+    if found is None:
+        return docs.sparkSession.createDataFrame([], SCHEMA)
+    named = items.select(items[item_id_col].cast("long").alias("item_id"), F.sha2(items[item_text_col].cast("string"), 256).alias("digest"))
+    return found.join(named, "digest").select("doc_id", "item_id", "score", "question_overlap", "answer_overlap")
+
+
+def without(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_text_col: str = "text", words: int = 5, overlap: float = 0.7, shard_items: int = 20_000, shard_bytes: int = 16 << 20, most_words: int = 512) -> DataFrame:
+    """The rows of ``docs`` that contain none of ``items``, with all their columns, by the row's own text."""
+    at = docs.columns.index(text_col)
+    for shared in _indexes(items, item_text_col, words, overlap, shard_items, shard_bytes, most_words):
+        docs = docs.mapInArrow(_filter(shared, at), docs.schema)
+    return docs
+
+
+def _filter(shared, at: int):
+    def run(batches):
+        index = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([not (t.is_valid and index.matches(t.as_buffer().to_pybytes())) for t in batch.column(at)], pa.bool_()))
+
+    return run
 
 
 def _search(shared):
@@ -230,11 +288,9 @@ def _search(shared):
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                by_item: dict[int, tuple] = {}
-                for part, told in index.matches(text.as_buffer().to_pybytes()).items():
-                    by_item[index.ids[part]] = max(by_item.get(index.ids[part], ()), told)
-                rows += [(doc, item, *told) for item, told in sorted(by_item.items())]
+                rows += [(doc, item, *told) for item, told in sorted(index.matches(text.as_buffer().to_pybytes()).items())]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *map(pa.array, columns[1:])], ["doc_id", "digest", "score", "question_overlap", "answer_overlap"])
 
     return run
