@@ -348,3 +348,104 @@ def test_masks(spark):
     found = secrets.scan(docs)
     got = {r.doc_id: r.m for r in found.select("doc_id", secrets.masked("text", "found").alias("m")).collect()}
     assert got == {1: "é [assign]\" and [access] end", 2: "plain"}
+
+
+def test_large_vectors_keep_exact_scores(spark):
+    from tarn.llm.topk import top_k
+
+    rng = random.Random(8)
+    rows = [(k, [rng.choice([1e6, -1e6, 3.5, 1e300, 2e17]) * rng.random() for _ in range(4)]) for k in range(120)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in top_k(vectors, vectors.where("vec_id % 50 = 0")).collect()}
+    whole = [(i, [int(np.floor(min(256 * x, 1.7976931348623157e308))) for x in v]) for i, v in rows]
+    for q in (0, 50, 100):
+        score = lambda v: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q][1], v))))  # noqa: E731, B023
+        want = sorted((-score(v), i) for i, v in whole if i != q)[:5]
+        assert [got[q, r + 1] for r in range(5)] == [(i, -s) for s, i in want]
+    million = vectors.selectExpr("vec_id", "transform(embedding, x -> 1e5 * (vec_id + 1)) as embedding")
+    assert top_k(million, million.where("vec_id = 0")).orderBy("rank").first().vec_id == 119
+
+
+def test_queries_in_several_blocks(spark, monkeypatch):
+    from tarn.llm import topk
+
+    vectors = spark.createDataFrame([(k, [float(k % 7), float(k % 11)]) for k in range(90)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, topk.top_k(vectors, vectors).collect()))
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 8 * 2 * 7)
+    assert sorted(map(tuple, topk.top_k(vectors, vectors.where("vec_id < 30")).collect())) == [r for r in whole if r[0] < 30]
+
+
+def test_repeated_and_nameless_items(spark):
+    from tarn.llm.decontaminate import matches, without
+
+    text = "who was the first to cross the wide river?\nit was old king harald of the north"
+    items = spark.createDataFrame([(k, text) for k in range(50)] + [(None, text), (7, "some other item that nobody has ever\nread in any book at all")], "item_id long, text string")
+    docs = documents(spark, [(1, "so " + text + " indeed"), (1, "clean"), (None, text), (2, None)])
+    got = [(r.doc_id, r.item_id) for r in matches(docs, items, shard_items=20).collect()]
+    assert sorted(map(str, got)) == sorted(str((d, k)) for d in (1, None) for k in [*range(50), None])
+    assert sorted(str(r.doc_id) for r in without(docs, items).collect()) == ["1", "2"] and without(docs, items.limit(0)).count() == 4
+
+
+def test_a_long_item_is_found_if_most_of_it_is(spark):
+    from tarn.llm.decontaminate import matches
+
+    words = [f"w{k}" for k in range(600)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    docs = documents(spark, [(1, " ".join(words)), (2, " ".join(words[:200])), (3, " ".join(words[:500])), (4, " ".join(words[100:450]))])
+    assert sorted(r.doc_id for r in matches(docs, items, most_words=100).collect()) == [1, 3]
+
+
+def test_very_long_texts_take_bounded_memory():
+    import tracemalloc
+
+    from tarn.llm.decontaminate import Index
+
+    rng = random.Random(3)
+    items = [(str(k), " ".join(f"w{rng.randrange(5000)}" for _ in range(40))) for k in range(5000)]
+    index = Index(items, 5, 0.7, 512)
+    text = " ".join(f"w{rng.randrange(5000)}" for _ in range(100_000)) + " " + items[77][1] + " end"
+    tracemalloc.start()
+    found = index.matches(text.encode())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(found) == ["77"] and peak < 200 << 20
+
+
+def test_an_empty_store_is_an_empty_table(spark, tmp_path):
+    from tarn.llm.sharding import Store, shard_documents
+
+    clash = "doc_id long, arrival_batch_of_store string, text string"
+    store = shard_documents(spark.createDataFrame([], clash), str(tmp_path / "none"))
+    assert store.read().count() == 0 and store.read().columns == ["doc_id", "arrival_batch_of_store", "text"]
+    rows = [(k % 5 or None, "mine", "é" * 100_000 if k == 3 else None) for k in range(20)]
+    store = shard_documents(spark.createDataFrame(rows, clash), str(tmp_path / "some"))
+    assert sorted(map(str, store.read().collect())) == sorted(map(str, spark.createDataFrame(rows, clash).collect()))
+    with pytest.raises(ValueError):
+        store.append(spark.createDataFrame([(1,)], "doc_id long"))
+    # A file of a commit that failed goes once it is old enough.
+    (tmp_path / "some/data/lost").mkdir()
+    (tmp_path / "some/data/lost/part-0.parquet").write_bytes(b"x")
+    assert store.vacuum() == [] and "data/lost/part-0.parquet" in store.vacuum(orphan_hours=-1) and store.read().count() == 20
+    assert isinstance(Store(spark, str(tmp_path / "some")).compact(), list)
+
+
+def test_records_have_the_fields_that_the_format_demands(spark):
+    from tarn.llm import warc
+
+    pages = spark.createDataFrame([(1, "u", "x"), (2, "u", "x"), (2, "v", "y"), (3, "w", "x"), (3, "w", "x")], "page_id long, url string, html string")
+    path = scratch(spark, "warc-test")
+    warc.write(pages, path)
+    headers = [r.header for r in spark.read.parquet(f"{path}/headers").collect()]
+    assert all(f"\r\n{x}: " in h for h in headers for x in ("WARC-Record-ID", "WARC-Date", "Content-Length", "WARC-Type"))
+    revisits = [h for h in headers if "WARC-Type: revisit" in h]
+    ids = {re.search("WARC-Record-ID: (.*)\r", h)[1] for h in headers}
+    assert len(revisits) == 2 and all("WARC-Profile: " in h and re.search("WARC-Refers-To: (.*)\r", h)[1] in ids for h in revisits) and len(ids) == 4
+
+
+def test_rare_languages_are_learned_and_columns_kept(spark):
+    from tarn.llm.langid import identify
+
+    rows = [(k, "the cat and the dog sat there", "en", "a", 1) for k in range(400)] + [(1000 + k, "tämä on suomea ja kissa istuu", "fi", "b", 2) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score int")
+    got = {r.doc_id: r for r in identify(docs, sample_documents=20, keep=("lang_pred", "score")).collect()}
+    assert {got[1000 + k].lang_pred for k in range(4)} == {"fi"} and got[5].lang_pred == "en" and tuple(got[5].row) == ("a", 1)
