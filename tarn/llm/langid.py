@@ -275,8 +275,8 @@ _emissions: dict[str, Emissions] = {}
 
 
 def predict(docs: DataFrame, model: Model | None, key: str = "", carried: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of each row by its text alone, and the ``carried`` columns."""
-    docs = docs.select("doc_id", "text", (fold(docs.doc_id) == 2).alias("held_out"), *carried)
+    """(doc_id, held_out, lang_pred, score) of each row by its text alone, and the ``carried`` columns, ``text`` last."""
+    docs = docs.select("doc_id", "text", (fold(docs.doc_id) == 2).alias("held_out"), *[c for c in carried if c != "text"])
     if model is None:
         return docs.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *carried)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -312,7 +312,7 @@ def predict(docs: DataFrame, model: Model | None, key: str = "", carried: tuple[
                 mean[sizes > 0] = sums / sums.sum(1, keepdims=True)
             best = mean.argmax(1)
             lang = [model.languages[b] if n else UNKNOWN for b, n in zip(best, sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lang, pa.string()), pa.array(np.minimum(mean.max(1), 1.0)), *batch.columns[3:]], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lang, pa.string()), pa.array(np.minimum(mean.max(1), 1.0)), *batch.columns[3:], *([batch.column(1)] if "text" in carried else [])], names)
 
     return docs.mapInArrow(run, schema)
 
@@ -332,10 +332,11 @@ def _small(batches, most: int = 4 << 20):
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_documents: int = 1500, sample_words: int = 60, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for each row of ``docs``, learned from its own labelled rows; the row's columns in ``keep`` come along as the struct ``row``."""
+    """(doc_id, held_out, lang_pred, score) for each row of ``docs``, learned from its own labelled rows; the row's columns in ``keep`` come along as the struct ``row``, the text itself as ``text``."""
     import uuid
 
-    row = [F.struct(*[docs[c] for c in keep]).alias("row")] if keep else []
+    others = [docs[c] for c in keep if c != text_col]
+    row = [F.struct(*others).alias("row")] if others else []
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"), *row)
     model = train(training_rows(docs, sample_documents, sample_words))
-    return predict(docs, model, uuid.uuid4().hex, ("row",) if keep else ())
+    return predict(docs, model, uuid.uuid4().hex, (*(["row"] if others else []), *(["text"] if text_col in keep else [])))
