@@ -66,3 +66,42 @@ def test_secrets_beside_noncharacters_are_masked(spark, sf_dir):
 
 def test_packing_loses_nothing(stages):
     assert check_pieces(stages[5].collect(), [(r.doc_id, r.text) for r in stages[4].collect()]) == 0
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, odd string, row string"
+
+
+def odd_rows(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "web", len(t or ""), 5, "mine", "mine") for i, t in rows], SCHEMA)
+
+
+def texts(df):
+    assert df.columns == list(corpus_pipeline.COLUMNS)
+    return sorted((str(r.doc_id), r.text) for r in df.collect())
+
+
+def test_stages_decide_by_row(spark, sf_dir):
+    leak = next(r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").collect())
+    a, b, c = "one text of seven words for you", "another text that has seven words here", "a third text with seven words indeed"
+    docs = odd_rows(spark, [(None, a), (3, a), (3, b), (None, b), (9, c), (9, c), (None, leak), (4, "x " + leak), (None, None), (5, ""), (6, "1 2 3")])
+    kept = corpus_pipeline.language(spark, docs, sf_dir)
+    assert texts(kept) == texts(docs.where("text rlike '[a-z]'").select(*corpus_pipeline.COLUMNS))
+    once = corpus_pipeline.near_duplicates(spark, odd_rows(spark, [(None, a), (2, a), (3, b), (3, c), (9, c), (9, c), (None, b), (None, b), (8, ""), (8, "")]), sf_dir)
+    assert [t for _, t in texts(once)].count(a) == 1 and ("2", a) in texts(once)
+    assert sorted(t for _, t in texts(once)) == sorted(["", a, b, c])
+    clean = corpus_pipeline.decontamination(spark, docs, sf_dir)
+    assert sorted(str(t) for _, t in texts(clean.na.fill("none"))) == sorted(str(r.text or ("none" if r.text is None else "")) for r in docs.where("text is null or not contains(text, '%s')" % leak.replace("'", "\\'")).collect())
+
+
+def test_stages_of_empty_tables(spark, sf_dir):
+    docs = odd_rows(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.count() == 0
+        if name != "packing":
+            assert out.columns == list(corpus_pipeline.COLUMNS)
+
+
+def test_without_labels_documents_with_letters_stay(spark, sf_dir):
+    docs = odd_rows(spark, [(1, "some words"), (2, "12"), (3, "w" * 50_000)]).selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "n_chars")
+    assert [i for i, _ in texts(corpus_pipeline.language(spark, docs, sf_dir))] == ["1", "3"]
