@@ -36,3 +36,64 @@ def secrets(text):
     out += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     out += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
     return [(k, s, e) for s, _, k, e in sorted(out)]
+
+
+def pii_spans(texts):
+    """All spans of each text by labelers written again; the counting of votes and what follows is the operator's own arithmetic."""
+    import regex
+    from collections import Counter
+
+    from tarn.llm import pii as op
+
+    number = lambda v: re.sub("[^0-9]", "", v)
+
+    def normal(kind, v):
+        if kind == "email":
+            return regex.sub(r"\x20?[\[(](?:dot|DOT)[\])]\x20?", ".", regex.sub(r"\x20?[\[(](?:at|AT)[\])]\x20?", "@", v))
+        return number(v) if kind == "phone" else v
+
+    def key(kind, n):
+        if kind == "name":
+            m = regex.search(r"\x20(\p{Lu}\p{Ll}+)", n)
+            return m[1] if m else ""
+        return {"email": n.split("@")[-1].lower(), "ip": ".".join(n.split(".")[:2]), "card": number(n)[:6], "phone": n[-10:][:3], "ssn": ""}[kind]
+
+    def listed(kind, v):
+        d = number(v)
+        if kind == "email":
+            return 1 if regex.search(rf"(?i)[.\])\x20](?:{op.ENDINGS})$", v) else -1
+        if kind == "card":
+            return 1 if re.match("4|5[1-5]|2[2-7]|6|3[47]", d) else 0
+        if kind == "ip":
+            return 0 if re.search(r"^0+\.|\.0+$", v) else -1
+        if kind == "phone":
+            return 1 if re.fullmatch("1?[2-9][0-9]{2}[2-9][0-9]{6}", d) else -1
+        if kind == "ssn":
+            return 0 if re.search("^(?:000|666|9)|^.{3}00|0000$", d) else -1
+        return 1 if re.search(rf"(?:^|\x20)(?:{op.GIVEN})(?:\x20|$)", v) else -1
+
+    strict = {"email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda v: True), "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda v: all(int(x) <= 255 for x in v.split("."))),
+              "card": (r"[0-9]([\x20-]?[0-9])+", lambda v: luhn(v)), "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: 8 <= len(number(v)) <= 15)}
+    rows = []
+    for text in texts:
+        found = [(k, m, True, int(ok(m[0]))) for k, (p, ok) in strict.items() for m in re.finditer(p, text) if k != "card" or 16 <= len(number(m[0])) <= 19]
+        found += [(k, m, False, -1) for k, p in op.LOOSE.items() for m in regex.finditer(p, text)]
+        own = []
+        for kind, m, is_strict, v1 in found:
+            before, n = text[max(0, m.start() - 40) : m.start()], normal(kind, m[0])
+            form = 1 if regex.search(op.FORMS[kind], n) else (-1 if kind in ("name", "phone") else 0)
+            context = 0 if regex.search(op.AGAINST, before) else 1 if regex.search(op.CONTEXT[kind], before) else -1
+            apart = not regex.search(r"[\p{L}0-9]$", before) and not regex.search(r"^[\p{L}0-9]", text[m.end() :][:20])
+            own.append([kind, m.start(), m.end(), is_strict, [v1, form, listed(kind, m[0]), -1, context], key(kind, n), min(3, len(m[0]) // 8), apart])
+        rows.append(own)
+    support = Counter((c[0], c[5]) for own in rows for c in own if c[5] and (c[4][0] == 1 or c[4][4] == 1))
+    for c in (c for own in rows for c in own):
+        c[4][3] = 1 if support[c[0], c[5]] > 1 else -1
+    counts = Counter((c[0], tuple(c[4]), c[6], c[7]) for own in rows for c in own)
+    taken = op.decide([(*shape, n) for shape, n in counts.items()])
+    out = []
+    for own in rows:
+        base = [c for c in own if c[3] and c[4][0] == 1]
+        more = [c for c in own if c not in base and (c[0], tuple(c[4]), c[6], c[7]) in taken and not any(b[1] < c[2] and c[1] < b[2] for b in base)]
+        out.append(",".join(f"{k}:{s}:{e}" for _, s, e, k in sorted({(op.ALL_KINDS.index(c[0]), c[1], c[2], c[0]) for c in base + more})))
+    return out
