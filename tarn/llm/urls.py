@@ -6,30 +6,43 @@
 2. Words and their counts come from the visible text of all pages, joined with the
    substrings of the names, so no vocabulary is sent around; a name is split where
    the product of its words' frequencies is largest, unknown letters at a penalty.
-3. Pages whose host has a word of the lexicon are weakly labelled as blocked, the
-   others as allowed. From these labels multinomial naive Bayes learns weights for all
-   tokens of hosts and paths (Laplace smoothing), counted over all pages, and scores
-   each distinct host and path token once.
+   A word has at most ``LABEL`` letters, as a label of a host has; names may have more.
+3. Multinomial naive Bayes scores the words of host and path, as often as they occur.
+   The table has no labels, so it learns by expectation-maximisation from two weak
+   ones: words of the lexicon count as ``STRENGTH`` blocked occurrences before any page
+   is seen, and pages of which ``RATE`` of the visible words are in the lexicon begin as
+   blocked whatever their host. Each round scores every page and counts its tokens for
+   either class by its probability. So a word that keeps company with the lexicon's is
+   learned, and a page with one such word among many harmless ones may pass.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and
-no rule, and is allowed; repeated rows and ids are judged one by one; an empty table
-gives no rows; words of up to ``longest`` letters are known, names of any length are
-split.
+no rule, and is allowed, as is a page of even odds; a null html is no text; repeated rows
+and ids are judged one by one; columns other than id, url and html are left out, whatever
+their names; an empty table gives no rows; digits count as the token ``0``; urls of any
+length are read whole.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm._common import materialise
+from tarn.llm._common import drop, materialise
 
 #: The rules, and seed words of unwanted hosts and of common web names.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-LEXICON = ("adult", "bet", "betting", "casino", "crack", "escort", "gamble", "jackpot", "keygen", "malware", "phish", "poker", "porn", "scam", "slots", "spam", "torrent", "viagra", "warez", "xxx")
+LEXICON = (
+    "ads", "adserver", "adult", "bet", "bets", "betting", "casino", "cheap", "clickbait", "crack", "cracked", "dating", "doorway", "drugs", "escort", "fake", "gamble", "gambling", "hack", "hacked",
+    "jackpot", "keygen", "loan", "lottery", "malware", "nude", "payday", "pharma", "phish", "phishing", "pills", "pirate", "poker", "popup", "porn", "prize", "replica", "roulette", "scam", "sex",
+    "slots", "spam", "spyware", "tracker", "torrent", "viagra", "virus", "warez", "xxx",
+)
 COMMON = ("blog", "book", "cloud", "data", "farm", "free", "game", "home", "host", "mail", "mobile", "net", "news", "online", "page", "shop", "site", "store", "tech", "test", "web", "win", "wiki", "world")
 #: Host labels that say nothing.
 PLAIN = ("www", "m", "example")
+#: Letters of a label at most; what a word of the lexicon weighs beforehand; the share of a page's words that makes it a bad example; rounds.
+LABEL, STRENGTH, RATE, ROUNDS = 63, 5, 0.02, 3
 
 
 def host_of(url: Column) -> Column:
@@ -52,16 +65,21 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def word_counts(pages: DataFrame, html_col: str, least: int = 2, longest: int = 20) -> DataFrame:
+def visible_words(html: Column) -> Column:
+    """The words of a page outside its tags, scripts and styles, in lower case."""
+    text = F.regexp_replace(F.coalesce(html.cast("string"), F.lit("")), r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " ")
+    return F.split(F.lower(text), r"[^\p{L}]+")
+
+
+def word_counts(pages: DataFrame, html_col: str, least: int = 2, longest: int = LABEL) -> DataFrame:
     """(word, n) over the visible text of all pages and the seed words."""
-    text = F.regexp_replace(F.coalesce(pages[html_col].cast("string"), F.lit("")), r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " ")
-    words = pages.select(F.explode(F.split(F.lower(text), r"[^\p{Alpha}]+")).alias("word")).where(F.length("word").between(least, longest) & F.col("word").rlike("^[a-z]+$"))
+    words = pages.select(F.explode(visible_words(pages[html_col])).alias("word")).where(F.length("word").between(least, longest))
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     seeds = pages.sparkSession.createDataFrame([(w, 1000) for w in sorted({*LEXICON, *COMMON})], "word string, n long")
     return counted.unionAll(seeds).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def segment(names: DataFrame, counts: DataFrame, least: int = 2, longest: int = 20) -> DataFrame:
+def segment(names: DataFrame, counts: DataFrame, least: int = 2, longest: int = LABEL) -> DataFrame:
     """(name, words) for distinct ``names`` (name): the most probable split."""
     places = names.where(F.length("name") >= least).select("name", F.explode(F.sequence(F.lit(1), F.length("name") - (least - 1))).alias("at"))
     lengths = F.sequence(F.lit(least), F.least(F.lit(longest), F.length("name") - F.col("at") + 1))
@@ -110,33 +128,52 @@ def _merged(words: list[str]) -> list[str]:
     return [w.lstrip("\0") for w in out]
 
 
+def bayes(pages: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(tokens, score) for each distinct list of tokens of ``pages`` (tokens, bad: whether the page is a bad example): its log odds for being blocked."""
+    lists = materialise(pages.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("examples")), "lists")
+    each = materialise(lists.select("tokens", "n", "examples", F.explode("tokens").alias("token")).groupBy("tokens", "n", "examples", "token").agg(F.count(F.lit(1)).alias("times")), "token-counts")
+    seeds = F.when(F.col("token").isin([f"h:{w}" for w in LEXICON]), F.lit(float(STRENGTH))).otherwise(F.lit(0.0))
+    # Beforehand only the lexicon and the examples speak: an example counts as blocked, any other page as neither.
+    share, score, prior = F.when(F.col("examples") > 0, F.col("examples") / F.col("n")).otherwise(F.lit(0.0)), None, 0.0
+    for k in range(rounds + 1):
+        weighed = each if score is None else each.join(score, "tokens")
+        bad = share if score is None else F.greatest(1 / (1 + F.exp(-F.col("score"))), share)
+        good = F.lit(0.0) if score is None else 1 - bad
+        told = weighed.withColumn("b", bad * F.col("n") * F.col("times")).withColumn("g", good * F.col("n") * F.col("times"))
+        counts = materialise(told.groupBy("token").agg((F.sum("b") + F.first(seeds)).alias("b"), F.sum("g").alias("g")), "weights")
+        sums = counts.agg(F.sum("b").alias("b"), F.sum("g").alias("g"), F.count(F.lit(1)).alias("kinds")).first()  # one row
+        if score is not None:
+            mass = lists.join(score, "tokens").agg(F.sum(F.greatest(1 / (1 + F.exp(-F.col("score"))), share) * F.col("n")).alias("b"), F.sum("n").alias("n")).first()
+            prior = math.log(((mass.b or 0) + 1) / ((mass.n or 0) - (mass.b or 0) + 1))
+        # The lexicon's words count in full, also those that no page has.
+        total = (sums.b or 0) + (sums.kinds or 0) + 1, (sums.g or 0) + (sums.kinds or 0) + 1
+        weight = counts.select("token", (F.log((F.col("b") + 1) / F.lit(total[0])) - F.log((F.col("g") + 1) / F.lit(total[1]))).alias("w"))
+        old, score = score, materialise(each.join(weight, "token").groupBy("tokens").agg(F.round(F.sum(F.col("w") * F.col("times")) + F.lit(prior), 6).alias("score")), "scores")
+        drop(counts, *([] if old is None else [old]))
+    drop(lists, each)
+    return score
+
+
 def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, words, score) for each row of ``pages``."""
     url = pages[url_col].cast("string")
-    rows = pages.select(pages[id_col].cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    seen = visible_words(pages[html_col])
+    held = F.size(F.filter(seen, lambda w: w.isin(list(LEXICON)))) >= F.greatest(F.lit(2.0), RATE * F.size(seen))
+    rows = pages.select(pages[id_col].cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), held.alias("bad"))
     hosts = materialise(rows.where("host <> ''").select("host").distinct(), "hosts")
     # The last label is the top-level domain.
-    labels = F.regexp_replace("host", r"\.[^.]*$", "")
-    named = hosts.select("host", F.explode(F.filter(F.split(labels, "[^a-z]+"), lambda x: (x != "") & ~x.isin(*PLAIN))).alias("name"))
-    split = materialise(segment(named.select("name").distinct(), word_counts(pages, html_col)), "names")
-    words = materialise(named.join(split, "name").groupBy("host").agg(F.array_distinct(F.flatten(F.array_sort(F.collect_list("words")))).alias("words")), "host-words")
-
-    paths = F.array_distinct(F.transform(F.filter(F.split(F.lower(F.col("path")), r"[^\p{L}\p{N}]+"), lambda x: x != ""), lambda x: F.when(x.rlike("^[0-9]+$"), "0").otherwise(x)))
-    told = rows.join(words, "host", "left").select("page_id", "host", "path", F.coalesce("words", F.array().cast("array<string>")).alias("words"), F.coalesce(paths, F.array().cast("array<string>")).alias("path_words"))
-    told = told.withColumn("weak", F.arrays_overlap("words", F.lit(list(LEXICON))))
-    tokens = F.concat(F.transform("words", lambda w: F.concat(F.lit("h:"), w)), F.transform("path_words", lambda w: F.concat(F.lit("p:"), w)))
-    told = materialise(told.select("page_id", "host", "path", "words", "weak", tokens.alias("tokens")), "told")
-
-    each = told.select("weak", F.explode("tokens").alias("token")).groupBy("token").agg(F.count_if("weak").alias("bad"), F.count_if(~F.col("weak")).alias("good"))
-    each = materialise(each, "tokens")
-    sums = each.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count(F.lit(1)).alias("kinds")).first()  # one row
-    rows_of = told.agg(F.count_if("weak").alias("bad"), F.count_if(~F.col("weak")).alias("good")).first()
-    kinds, bad, good = sums.kinds or 0, sums.bad or 0, sums.good or 0
-    weight = each.select("token", (F.log((F.col("bad") + 1) / (bad + kinds + 1)) - F.log((F.col("good") + 1) / (good + kinds + 1))).alias("w"))
-    prior = F.log(F.lit(((rows_of.bad or 0) + 1) / ((rows_of.good or 0) + 1)))
-    kinds_of = told.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token"))
-    score = materialise(kinds_of.join(weight, "token").groupBy("tokens").agg(F.sum("w").alias("w")), "scores")
-    out = told.join(score, "tokens", "left").withColumn("score", F.round(prior + F.coalesce("w", F.lit(0.0)), 9))
-    ruled = out.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
-    method = F.when(F.size("tokens") == 0, "allow").when(F.col("score") > 0, "block").otherwise("allow")
+    runs = F.regexp_extract_all(F.lower(F.regexp_replace("host", r"\.[^.]*$", "")), F.lit(r"\p{L}+|\p{N}+"), F.lit(0))
+    named = hosts.select("host", F.posexplode(F.filter(runs, lambda x: ~x.isin(*PLAIN))).alias("at", "name"))
+    digits = F.col("name").rlike(r"^\p{N}")
+    split = materialise(segment(named.where(~digits).select("name").distinct(), word_counts(pages, html_col)), "names")
+    each = named.where(~digits).join(split, "name").select("host", "at", "words").unionAll(named.where(digits).select("host", "at", F.array(F.lit("0"))))
+    words = materialise(each.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("words")), "host-words")
+
+    paths = F.transform(F.filter(F.split(F.lower(F.col("path")), r"[^\p{L}\p{N}]+"), lambda x: x != ""), lambda x: F.when(x.rlike(r"^\p{N}+$"), "0").otherwise(x))
+    none = F.array().cast("array<string>")
+    told = rows.join(words, "host", "left").select("page_id", "host", "path", "bad", F.coalesce("words", none).alias("words"), F.coalesce(paths, none).alias("path_words"))
+    tokens = F.array_sort(F.concat(F.transform("words", lambda w: F.concat(F.lit("h:"), w)), F.transform("path_words", lambda w: F.concat(F.lit("p:"), w))))
+    told = materialise(told.select("page_id", "host", "path", "words", "bad", tokens.alias("tokens")), "told")
+    ruled = told.join(bayes(told.where(F.size("tokens") > 0).select("tokens", "bad")), "tokens", "left").withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
+    method = F.when(F.coalesce("score", F.lit(0.0)) > 0, "block").otherwise("allow")
     return ruled.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", method).alias("verdict"), "words", "score")

@@ -97,3 +97,74 @@ def pii_spans(texts):
         more = [c for c in own if c not in base and (c[0], tuple(c[4]), c[6], c[7]) in taken and not any(b[1] < c[2] and c[1] < b[2] for b in base)]
         out.append(",".join(f"{k}:{s}:{e}" for _, s, e, k in sorted({(op.ALL_KINDS.index(c[0]), c[1], c[2], c[0]) for c in base + more})))
     return out
+
+
+def urls(pages):
+    """{page_id: (words, verdict of the method, score)} of distinct ids (page_id, url, html): Viterbi and naive Bayes in plain loops."""
+    import math
+    from collections import Counter
+
+    import regex
+
+    from tarn.llm import urls as op
+
+    def visible(html):
+        return [w for w in regex.split(r"[^\p{L}]+", re.sub(r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " ", html or "").lower()) if w]
+
+    counts = Counter({w: 1000 for w in {*op.LEXICON, *op.COMMON}})
+    for _, _, html in pages:
+        counts.update(w for w in visible(html) if 2 <= len(w) <= op.LABEL)
+    whole = sum(counts.values())
+
+    def split(name):
+        best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
+        for at in range(len(name)):
+            for size in (*range(2, min(op.LABEL, len(name) - at) + 1), 1):
+                w = name[at : at + size]
+                gain = -math.log(whole) - math.log(10) if size == 1 else math.log(counts[w] / whole) if counts[w] else None
+                if gain is not None and best[at] + gain > best[at + size]:
+                    best[at + size], back[at + size] = best[at] + gain, size
+        out, at = [], len(name)
+        while at:
+            out.append(name[at - back[at] : at])
+            at -= back[at]
+        joined, loose = [], False
+        for w in out[::-1]:
+            if len(w) == 1 and loose:
+                joined[-1] += w
+            else:
+                joined.append(w)
+            loose = len(w) == 1
+        return joined
+
+    words, tokens, bad = {}, {}, {}
+    for i, url, html in pages:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host, path = re.match(r"(?s)([^/?#]*)([^?#]*)", rest).groups()
+        runs = [r for r in regex.findall(r"\p{L}+|\p{N}+", re.sub(r"\.[^.]*$", "", host).lower()) if r not in op.PLAIN]
+        words[i] = [w for r in runs for w in (["0"] if regex.match(r"\p{N}", r) else split(r))]
+        parts = ["0" if regex.fullmatch(r"\p{N}+", x) else x for x in regex.split(r"[^\p{L}\p{N}]+", path.lower()) if x]
+        tokens[i] = ["h:" + w for w in words[i]] + ["p:" + x for x in parts]
+        seen = regex.split(r"[^\p{L}]+", re.sub(r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " ", html or "").lower())
+        bad[i] = sum(w in op.LEXICON for w in seen) >= max(2.0, op.RATE * len(seen))
+    own = {i: t for i, t in tokens.items() if t}
+    kinds = {x for t in own.values() for x in t}
+    share = {}
+    for i, t in own.items():
+        like = [j for j in own if sorted(own[j]) == sorted(t)]
+        share[i] = sum(bad[j] for j in like) / len(like)
+    score, prior = None, 0.0
+    for _ in range(op.ROUNDS + 1):
+        p = {i: share[i] if score is None else max(1 / (1 + math.exp(-score[i])), share[i]) for i in own}
+        b = {x: float(op.STRENGTH) if x[:2] == "h:" and x[2:] in op.LEXICON else 0.0 for x in kinds}
+        g = dict.fromkeys(kinds, 0.0)
+        for i, t in own.items():
+            for x in t:
+                b[x] += p[i]
+                g[x] += 0.0 if score is None else 1 - p[i]
+        if score is not None:
+            prior = math.log((sum(p.values()) + 1) / (len(own) - sum(p.values()) + 1))
+        nb, ng = sum(b.values()) + len(kinds) + 1, sum(g.values()) + len(kinds) + 1
+        w = {x: math.log((b[x] + 1) / nb) - math.log((g[x] + 1) / ng) for x in kinds}
+        score = {i: prior + sum(w[x] for x in t) for i, t in own.items()}
+    return {i: (words[i], "block" if i in own and score[i] > 0 else "allow", score.get(i)) for i, _, _ in pages}

@@ -449,3 +449,34 @@ def test_rare_languages_are_learned_and_columns_kept(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score int")
     got = {r.doc_id: r for r in identify(docs, sample_documents=20, keep=("lang_pred", "score")).collect()}
     assert {got[1000 + k].lang_pred for k in range(4)} == {"fi"} and got[5].lang_pred == "en" and tuple(got[5].row) == ("a", 1)
+
+
+def test_urls_as_written_again(spark, sf_dir):
+    from tarn.llm.urls import judge
+    from tests.llm.brute import urls
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = judge(pages).collect()
+    want = urls([(r.page_id, r.url, r.html) for r in pages.collect()])
+    assert len(got) == len(want) and len({r.verdict for r in got if r.rule is None}) == 2
+    for r in got:
+        words, verdict, score = want[r.page_id]
+        assert list(r.words) == words and (r.rule or r.verdict == verdict) and abs((r.score or 0) - (score or 0)) < 1e-3
+
+
+def test_naive_bayes_decides_and_not_the_lexicon(spark):
+    from tarn.llm.urls import LEXICON, judge
+    from tests.llm.brute import urls
+
+    text = "<p>" + "lucky spin garden flower news daily seeds roses paper lamps chairs tables " * 9 + "</p>"
+    pages = [(k, f"http://www.{('casino', 'poker', 'slots')[k % 3]}luckyspin.org/play/{k}", text) for k in range(60)]
+    pages += [(100 + k, f"http://www.{('garden', 'flower', 'daily')[k % 3]}news{('roses', 'paper', 'seeds')[k // 3 % 3]}.org/read/{k}", text) for k in range(200)]
+    pages += [(500, "http://luckyspin.org/play/1", text), (501, "http://cheap-garden-flower-news-daily-roses.org/read/5", text), (502, "http://bet365.org/play/5", text), (503, "http://velvet.org/x/1", text), (504, "http://ünïlamps.org/x", None)]
+    # Pages teach the words of their hosts by what they say.
+    pages += [(600 + k, f"http://velvet.org/x/{k}", "<b>" + "casino poker velvet " * 30 + "</b>") for k in range(30)]
+    got = {r.page_id: r for r in judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    told = {k: got[k].verdict for k in range(500, 504)}
+    assert told == {500: "block", 501: "allow", 502: "block", 503: "block"}
+    assert not set(got[500].words) & set(LEXICON) and set(got[501].words) & set(LEXICON) and list(got[502].words) == ["bet", "0"]
+    want = urls(pages)
+    assert all((list(got[i].words), got[i].verdict) == want[i][:2] for i in got)
