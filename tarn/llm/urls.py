@@ -42,7 +42,9 @@ COMMON = ("blog", "book", "cloud", "data", "farm", "free", "game", "home", "host
 #: Host labels that say nothing.
 PLAIN = ("www", "m", "example")
 #: Letters of a label at most; what a word of the lexicon weighs beforehand; the share of a page's words that makes it a bad example; rounds.
-LABEL, STRENGTH, RATE, ROUNDS = 63, 5, 0.02, 3
+LABEL, STRENGTH, RATE, ROUNDS = 63, 5, 0.02, 4
+#: Log odds of a page before anything is known of it.
+BEGIN = -1.0
 
 
 def host_of(url: Column) -> Column:
@@ -132,24 +134,24 @@ def bayes(pages: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(tokens, score) for each distinct list of tokens of ``pages`` (tokens, bad: whether the page is a bad example): its log odds for being blocked."""
     lists = materialise(pages.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("examples")), "lists")
     each = materialise(lists.select("tokens", "n", "examples", F.explode("tokens").alias("token")).groupBy("tokens", "n", "examples", "token").agg(F.count(F.lit(1)).alias("times")), "token-counts")
-    seeds = F.when(F.col("token").isin([f"h:{w}" for w in LEXICON]), F.lit(float(STRENGTH))).otherwise(F.lit(0.0))
-    # Beforehand only the lexicon and the examples speak: an example counts as blocked, any other page as neither.
-    share, score, prior = F.when(F.col("examples") > 0, F.col("examples") / F.col("n")).otherwise(F.lit(0.0)), None, 0.0
-    for k in range(rounds + 1):
-        weighed = each if score is None else each.join(score, "tokens")
-        bad = share if score is None else F.greatest(1 / (1 + F.exp(-F.col("score"))), share)
-        good = F.lit(0.0) if score is None else 1 - bad
-        told = weighed.withColumn("b", bad * F.col("n") * F.col("times")).withColumn("g", good * F.col("n") * F.col("times"))
+    lexicon = [f"h:{w}" for w in LEXICON]
+    seeds = F.when(F.col("token").isin(lexicon), F.lit(float(STRENGTH))).otherwise(F.lit(0.0))
+    share = F.when(F.col("examples") > 0, F.col("examples") / F.col("n")).otherwise(F.lit(0.0))
+    # Beforehand only the lexicon and the examples speak.
+    said = F.size(F.filter("tokens", lambda t: t.isin(lexicon)))
+    score = materialise(lists.select("tokens", F.round(F.lit(BEGIN) + said * math.log(STRENGTH + 1), 6).alias("score")), "scores")
+    bad = F.greatest(1 / (1 + F.exp(-F.col("score"))), share)
+    for _ in range(rounds):
+        told = each.join(score, "tokens").withColumn("b", bad * F.col("n") * F.col("times")).withColumn("g", (1 - bad) * F.col("n") * F.col("times"))
         counts = materialise(told.groupBy("token").agg((F.sum("b") + F.first(seeds)).alias("b"), F.sum("g").alias("g")), "weights")
         sums = counts.agg(F.sum("b").alias("b"), F.sum("g").alias("g"), F.count(F.lit(1)).alias("kinds")).first()  # one row
-        if score is not None:
-            mass = lists.join(score, "tokens").agg(F.sum(F.greatest(1 / (1 + F.exp(-F.col("score"))), share) * F.col("n")).alias("b"), F.sum("n").alias("n")).first()
-            prior = math.log(((mass.b or 0) + 1) / ((mass.n or 0) - (mass.b or 0) + 1))
-        # The lexicon's words count in full, also those that no page has.
+        mass = lists.join(score, "tokens").agg(F.sum(bad * F.col("n")).alias("b"), F.sum("n").alias("n")).first()  # one row
+        prior = math.log(((mass.b or 0) + 1) / ((mass.n or 0) - (mass.b or 0) + 1))
         total = (sums.b or 0) + (sums.kinds or 0) + 1, (sums.g or 0) + (sums.kinds or 0) + 1
         weight = counts.select("token", (F.log((F.col("b") + 1) / F.lit(total[0])) - F.log((F.col("g") + 1) / F.lit(total[1]))).alias("w"))
-        old, score = score, materialise(each.join(weight, "token").groupBy("tokens").agg(F.round(F.sum(F.col("w") * F.col("times")) + F.lit(prior), 6).alias("score")), "scores")
-        drop(counts, *([] if old is None else [old]))
+        new = each.join(weight, "token").groupBy("tokens").agg(F.round(F.sum(F.col("w") * F.col("times")) + F.lit(prior), 6).alias("score"))
+        old, score = score, materialise(new, "scores")
+        drop(counts, old)
     drop(lists, each)
     return score
 

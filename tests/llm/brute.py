@@ -153,17 +153,17 @@ def urls(pages):
     for i, t in own.items():
         like = [j for j in own if sorted(own[j]) == sorted(t)]
         share[i] = sum(bad[j] for j in like) / len(like)
-    score, prior = None, 0.0
-    for _ in range(op.ROUNDS + 1):
-        p = {i: share[i] if score is None else max(1 / (1 + math.exp(-score[i])), share[i]) for i in own}
-        b = {x: float(op.STRENGTH) if x[:2] == "h:" and x[2:] in op.LEXICON else 0.0 for x in kinds}
+    seeds = {"h:" + w for w in op.LEXICON}
+    score = {i: op.BEGIN + sum(x in seeds for x in t) * math.log(op.STRENGTH + 1) for i, t in own.items()}
+    for _ in range(op.ROUNDS):
+        p = {i: max(1 / (1 + math.exp(-score[i])), share[i]) for i in own}
+        b = {x: float(op.STRENGTH) if x in seeds else 0.0 for x in kinds}
         g = dict.fromkeys(kinds, 0.0)
         for i, t in own.items():
             for x in t:
                 b[x] += p[i]
-                g[x] += 0.0 if score is None else 1 - p[i]
-        if score is not None:
-            prior = math.log((sum(p.values()) + 1) / (len(own) - sum(p.values()) + 1))
+                g[x] += 1 - p[i]
+        prior = math.log((sum(p.values()) + 1) / (len(own) - sum(p.values()) + 1))
         nb, ng = sum(b.values()) + len(kinds) + 1, sum(g.values()) + len(kinds) + 1
         w = {x: math.log((b[x] + 1) / nb) - math.log((g[x] + 1) / ng) for x in kinds}
         score = {i: prior + sum(w[x] for x in t) for i, t in own.items()}
