@@ -15,12 +15,18 @@ import numpy as np
 URL = re.compile(rb"[A-Za-z0-9%+\-_.~:/?#\[\]@!$&'()*,;=]+")
 BASE64 = re.compile(rb"[A-Za-z0-9+/\-_](?:[\n\r\t]*[A-Za-z0-9+/\-_])*(?:[\n\r\t]*=){0,2}")
 BASE64_SPACED = re.compile(rb"[A-Za-z0-9+/\-_](?:[\n\r\t ]*[A-Za-z0-9+/\-_])*(?:[\n\r\t ]*=){0,2}")
+#: Bytes that base64 can be written in.
+LINE, SPACED = rb"A-Za-z0-9+/\-_=\n\r\t", rb"A-Za-z0-9+/\-_=\n\r\t "
 #: Budgets are for stretches of as many bytes as the reference's chunks have.
 STRETCH = 64 * 1024
 HEX = {c: int(chr(c), 16) for c in b"0123456789abcdefABCDEF"}
 SIX = {c: k for k, c in enumerate(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")} | {ord("-"): 62, ord("_"): 63}
 
 
+#: The value of each byte in base64; 64 for a pad, -1 for any other.
+VALUES = np.array([SIX.get(c, 64 if c == 0x3D else -1) for c in range(256)], np.int16)
+
+
 @dataclass(frozen=True)
 class Decoded:
     data: bytes
@@ -36,13 +42,13 @@ class Decoded:
 
 
 class Spans:
-    """Spans of a buffer, at most ``most`` that begin in each stretch of ``stretch`` bytes; ``dropped`` counts the others."""
+    """Spans of a buffer, at most ``most`` (None: all) that begin in each stretch of ``stretch`` bytes; ``dropped`` counts the others."""
 
-    def __init__(self, most: int, stretch: int):
+    def __init__(self, most: int | None, stretch: int):
         self.most, self.stretch, self.kept, self.held, self.dropped = most, stretch, [], Counter(), 0
 
     def add(self, start: int, end: int) -> None:
-        if self.held[start // self.stretch] < self.most:
+        if self.most is None or self.held[start // self.stretch] < self.most:
             self.held[start // self.stretch] += 1
             self.kept.append((start, end))
         else:
@@ -54,7 +60,7 @@ class Spans:
         return self.kept
 
 
-def url_spans(data: bytes, least: int = 16, longest: int = 65536, most: int = 8, plus: bool = False, dropped: Counter | None = None) -> list[tuple[int, int]]:
+def url_spans(data: bytes, least: int = 16, longest: int = 65536, most: int | None = None, plus: bool = False, dropped: Counter | None = None) -> list[tuple[int, int]]:
     """Runs of URL characters with an escape, split at ``longest``; ``most`` of each ``STRETCH``."""
     out = Spans(most, STRETCH)
     if b"%" not in data and not (plus and b"+" in data):
@@ -85,24 +91,28 @@ def url_decode(data: bytes, plus: bool = False) -> Decoded:
     return Decoded(bytes(out), np.array(first, np.int64), np.array(behind, np.int64))
 
 
-def base64_spans(data: bytes, least: int = 32, longest: int = 65536, most: int = 8, spaces: bool = False, dropped: Counter | None = None) -> list[tuple[int, int]]:
+def base64_spans(data: bytes, least: int = 32, longest: int = 65536, most: int | None = None, spaces: bool = False, dropped: Counter | None = None) -> list[tuple[int, int]]:
     """Runs of the two base64 alphabets with white space inside and up to two pads; ``most`` of each ``STRETCH``."""
     out = Spans(most, STRETCH)
-    for m in (BASE64_SPACED if spaces else BASE64).finditer(data):
-        for at in range(m.start(), m.end(), longest):
-            end = min(at + longest, m.end())
-            if end - at >= least and sum(c in SIX or c == 0x3D for c in data[at:end]) >= least:
-                out.add(at, end)
+    # Most words are too short: runs of the alphabet that are long enough come first, and spans lie within them.
+    letters = SPACED if spaces else LINE
+    for run in re.finditer(rb"(?<![%s])[%s]{%d,}+" % (letters, letters, least), data):
+        for m in (BASE64_SPACED if spaces else BASE64).finditer(data, run.start(), run.end()):
+            for at in range(m.start(), m.end(), longest) if m.end() - m.start() >= least else ():
+                end = min(at + longest, m.end())
+                if end - at >= least and (end - at) - sum(data.count(c, at, end) for c in (b"\n", b"\r", b"\t", b" ")) >= least:
+                    out.add(at, end)
     return out.told(dropped, "base64 spans")
 
 
 def base64_decode(data: bytes, shift: int = 0) -> Decoded | None:
     """Decode after skipping ``shift`` characters; None for a lone last character or data after a pad."""
-    places = [k for k, c in enumerate(data) if c in SIX or c == 0x3D][shift:]
-    body = [k for k in places if data[k] != 0x3D]
-    if len(body) % 4 == 1 or (len(body) != len(places) and places[len(body) :] != [k for k in places if data[k] == 0x3D]):
+    codes = VALUES[np.frombuffer(data, np.uint8)]
+    places = np.flatnonzero(codes >= 0)[shift:]
+    body = places[codes[places] < 64]
+    if len(body) % 4 == 1 or (places[: len(body)] != body).any():
         return None
-    six = np.array([SIX[data[k]] for k in body], np.uint32)
+    six = codes[body].astype(np.uint32)
     size = len(six) * 6 // 8
     six = np.concatenate([six, np.zeros(-len(six) % 4, np.uint32)]).reshape(-1, 4)
     whole = six[:, 0] << 18 | six[:, 1] << 12 | six[:, 2] << 6 | six[:, 3]
@@ -115,7 +125,7 @@ def base64_decode(data: bytes, shift: int = 0) -> Decoded | None:
 
 def base64_shifts(data: bytes, least: int = 32) -> list[int]:
     """Alignments worth trying: a run's own, and those of a run that begins in other text."""
-    n = sum(c in SIX for c in data)
+    n = int((np.abs(VALUES[np.frombuffer(data, np.uint8)] - 31.5) < 32).sum())
     return [s for s in range(4) if n - s >= least]
 
 

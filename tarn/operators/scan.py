@@ -6,9 +6,12 @@ searched for encoded spans, whose decoded bytes are scanned the same way if they
 an anchor at all, to a bounded depth. Findings are deduplicated exactly, a decoded one
 before the raw one it covers.
 
-Objects are scanned whole. The budgets of ``Tuning`` for encoded spans, decoded bytes
-and findings hold for each 64 KiB of an object, as the reference's do for each chunk;
-what goes beyond is dropped, counted in ``Engine.dropped`` and logged by each task.
+Objects are scanned whole, or with ``Tuning.chunk_bytes`` in chunks that carry the
+overlap which the rules need (``Engine.overlap``); findings whose span ends in what was
+carried belong to the chunk before. Every encoded span is decoded and every finding kept:
+budgets are off by default. ``BOUNDED`` has the reference's, which hold for each 64 KiB
+of an object; what goes beyond them is dropped, counted in ``Engine.dropped`` and logged
+by each task.
 
 There is no shuffle: an object is one row, a finding is small, and content never
 leaves the scan. Secrets are reported by their SHA-256 alone.
@@ -22,7 +25,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,20 +51,28 @@ class Tuning:
     #: Bytes of a UTF-16 window that are decoded at a time; all of it is.
     max_utf16_bytes: int = 64 * 1024
     max_depth: int = 3
-    max_decoded_bytes: int = 512 * 1024
-    max_work_items: int = 256
-    max_findings: int = 8192
+    #: Budgets for each 64 KiB; None is none.
+    max_decoded_bytes: int | None = None
+    max_work_items: int | None = None
+    max_findings: int | None = None
+    #: Payload of a chunk; None scans objects whole. ``overlap`` None is what the rules need.
+    chunk_bytes: int | None = None
+    overlap: int | None = None
     utf16: bool = True
     #: Smallest encoded spans, their number in a buffer, and the gate: decoded bytes without any anchor give nothing.
     url_least: int = 16
     base64_least: int = 32
-    max_spans: int = 8
+    max_spans: int | None = None
     anchors_in_decoded: bool = True
     plus_to_space: bool = False
     base64_spaces: bool = False
     only_if_none: bool = False
 
 
+#: Budgets of a chunk.
+BOUNDED = Tuning(max_decoded_bytes=512 * 1024, max_work_items=256, max_findings=8192, max_spans=8)
+
+
 @dataclass(frozen=True)
 class Finding:
     rule_id: int
@@ -72,6 +83,11 @@ class Finding:
     steps: tuple[tuple[str, int, int], ...]
     norm_hash: str
 
+    def moved(self, base: int) -> Finding:
+        """The finding of a chunk that begins at ``base``; only what is in the object's own bytes moves."""
+        steps = tuple((k, s + base, e + base) if n == 0 else (k, s, e) for n, (k, s, e) in enumerate(self.steps))
+        return replace(self, span=self.span if self.steps else (self.span[0] + base, self.span[1] + base), root=(self.root[0] + base, self.root[1] + base), steps=steps)
+
 
 def entropy(data: bytes) -> float:
     """Shannon bits a byte."""
@@ -139,7 +155,28 @@ class Engine:
         text = data.decode("latin-1")
         return any(next(self.automata[v].iter(text), None) is not None for v in self._variants(data))
 
+    def overlap(self) -> int:
+        """Bytes a chunk must carry so that no window, in UTF-16 twice as wide, nor an encoded span that fits in it is cut."""
+        reach = max((2 * (r.two_phase[1] if r.two_phase else r.radius) + max(map(len, r.anchors)) for r in self.rules), default=0)
+        return max(2 * reach, codecs.STRETCH)
+
     def scan(self, data: bytes) -> list[Finding]:
+        """Findings of one object, in chunks if it is larger than one."""
+        size = self.tuning.chunk_bytes
+        if size is None or len(data) <= size:
+            return self._scan(data)
+        overlap, out, dropped = self.overlap() if self.tuning.overlap is None else self.tuning.overlap, [], Counter()
+        for at in range(0, len(data), size):
+            base = max(0, at - overlap)
+            for f in self._scan(data[base : at + size]):
+                # A span that the end of the chunk before cut is decoded whole only here.
+                if at == 0 or max(f.root[1], f.steps[0][2] if f.steps else 0) > at - base:
+                    out.append(f.moved(base))
+            dropped += self.dropped
+        self.dropped = dropped
+        return self._deduplicated(out)
+
+    def _scan(self, data: bytes) -> list[Finding]:
         t, out = self.tuning, []
         queue: list[tuple[bytes, tuple, tuple[int, int] | None, codecs.Decoded | None, int]] = [(data, (), None, None, 0)]
         # Budgets are for each stretch of the object, as the reference has them for each chunk.
@@ -162,7 +199,7 @@ class Engine:
                 own = root[0] // codecs.STRETCH
                 items[own] += 1
                 spent[own] += len(d.data)
-                if items[own] > t.max_work_items or spent[own] > t.max_decoded_bytes:
+                if (t.max_work_items is not None and items[own] > t.max_work_items) or (t.max_decoded_bytes is not None and spent[own] > t.max_decoded_bytes):
                     dropped["decoded buffers"] += 1
                     continue
                 key = (root, hashlib.blake2b(d.data, digest_size=16).digest())
@@ -174,7 +211,7 @@ class Engine:
         kept, held = [], Counter()
         for f in self._deduplicated(out):
             held[f.root[0] // codecs.STRETCH] += 1
-            if held[f.root[0] // codecs.STRETCH] <= t.max_findings:
+            if t.max_findings is None or held[f.root[0] // codecs.STRETCH] <= t.max_findings:
                 kept.append(f)
             else:
                 dropped["findings"] += 1
@@ -310,7 +347,6 @@ class Chunks:
 
     size: int = 4 << 20
     overlap: int = 64 << 10
-    extra: dict = field(default_factory=dict, compare=False)
 
 
 def chunked(objects: DataFrame, chunks: Chunks, *, id_col: str = "object_id", content_col: str = "content") -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 
 from tarn.functions import codecs
 from tarn.functions.rules import Rule, built_in, portable
-from tarn.operators.scan import Chunks, Engine, Tuning, chunked, entropy, merged, scan
+from tarn.operators.scan import BOUNDED, Chunks, Engine, Tuning, chunked, entropy, merged, scan
 
 TOKEN = b"ghp_aB3dE5gH7jK9mN1pQ3sT5vW7xY9zA2cD4fG6"
 SIMPLE = [Rule("TOK0", (b"TOK0_",), "TOK0_[A-Z0-9]{8}", 64), Rule("TOK1", (b"TOK1_",), "TOK1_[A-Z0-9]{8}", 64)]
@@ -100,8 +100,10 @@ def test_budgets_are_for_each_stretch_of_an_object(spark):
     for coded in (lambda x: b"value=" + b"".join(b"%%%02X" % c for c in x), lambda x: base64.b64encode(b"padding " + x + b" more padding")):
         data = b"".join(b" " + coded(token(k)) + b" " + blank for k in range(30))
         assert len(found(data, SIMPLE)) >= 30 and len({f[2][0] // len(blank) for f in found(data, SIMPLE)}) == 30
-        engine = Engine(SIMPLE)
-        assert engine.scan(b" ".join(coded(token(k)) for k in range(30))) and engine.dropped
+        near = b" ".join(coded(token(k)) for k in range(30))
+        engine = Engine(SIMPLE, BOUNDED)
+        assert engine.scan(near) and engine.dropped
+        assert len({f.norm_hash for f in Engine(SIMPLE).scan(near)}) == 30
     many = b" ".join(token(k) for k in range(20_000))
     objects = spark.createDataFrame([("a", bytearray(many))], "object_id string, content binary")
     assert scan(objects, SIMPLE).count() == 20_000
@@ -123,3 +125,40 @@ def test_nulls_and_empty_objects(spark):
     rows = spark.createDataFrame([("a", None), (None, bytearray(TOKEN)), ("c", bytearray(b""))], "object_id string, content binary")
     assert [(r.object_id, r.rule) for r in scan(rows).collect()] == [(None, "github-pat")]
     assert scan(rows.limit(0)).count() == 0
+
+
+def test_nothing_is_dropped_without_budgets():
+    engine = Engine(SIMPLE)
+    cases = {
+        9_000: b" ".join(token(k) for k in range(9_000)),
+        2_000: " ".join(token(k).decode() for k in range(2_000)).encode("utf-16-le"),
+        1: b"A" * 700_000 + b" " + token(5),
+        300: b"".join(b" " + base64.b64encode(b"padding " + token(k) + b" more padding") for k in range(300)),
+        600: b" ".join(b"value=" + b"".join(b"%%%02X" % c for c in token(k)) for k in range(600)),
+    }
+    for n, data in cases.items():
+        assert len({f.norm_hash for f in engine.scan(data)}) == n and not engine.dropped
+
+
+def test_objects_in_chunks_give_what_whole_ones_do():
+    rng = random.Random(4)
+    parts = []
+    for k in range(400):
+        t = token(k)
+        parts.append((t, base64.b64encode(b"padding " + t + b" more padding"), b"value=" + b"".join(b"%%%02X" % c for c in t))[k % 3])
+        parts.append(b" " * rng.randrange(1, 40) + b"filler text " * rng.randrange(0, 30))
+    data = b" ".join(parts)
+    whole = Engine(SIMPLE).scan(data)
+    assert Engine(SIMPLE).overlap() >= 64 * 1024 and len(whole) >= 400
+    for size, overlap in ((1000, 400), (5000, 300), (len(data) - 1, None)):
+        pieces = Engine(SIMPLE, Tuning(chunk_bytes=size, overlap=overlap)).scan(data)
+        assert {(f.rule, f.root, f.norm_hash) for f in pieces} == {(f.rule, f.root, f.norm_hash) for f in whole}
+
+
+def test_spans_of_base64_as_written_plainly():
+    rng = random.Random(6)
+    for _ in range(200):
+        data = bytes(rng.choice(b"AZaz09+/-_=\n\t .,") for _ in range(rng.randrange(0, 200)))
+        for spaces, pattern in ((False, codecs.BASE64), (True, codecs.BASE64_SPACED)):
+            plain = [m.span() for m in pattern.finditer(data) if len(m[0]) >= 8 and sum(c not in b"\n\r\t " for c in m[0]) >= 8]
+            assert codecs.base64_spans(data, 8, spaces=spaces) == plain
