@@ -101,6 +101,8 @@ class Expander:
             yield from {"gzip": self._gzip, "tar": self._tar, "targz": self._targz, "zip": self._zip}[kind](path, data, depth)
         except Stop as e:
             yield path, None, "partial", str(e)
+        except (ValueError, IndexError, struct.error, zlib.error, OverflowError):
+            yield path, None, "partial", f"malformed_{kind}"  # no input fails a job
 
     def _charge(self, size: int, left: int, packed: int | None = None) -> int:
         if packed is not None and size > max(packed, 1) * self.b.ratio:
@@ -122,23 +124,38 @@ class Expander:
             yield path, None, "skipped", "needs_random_access_no_spill"
         yield path, data, "scanned", None
 
+    def _members(self, data: bytes, least: int) -> tuple[bytes, bool]:
+        """(bytes, whole) of all members of a gzip stream, up to ``least`` + 1 bytes; zeros after the last are padding."""
+        out, whole = bytearray(), True
+        while whole and len(out) <= least and data.rstrip(b"\0"):
+            d = zlib.decompressobj(31)
+            try:
+                out += d.decompress(data, least + 1 - len(out))
+                whole, data = d.eof or len(out) > least, d.unused_data
+            except zlib.error:
+                part, whole = _inflate(data, 31, least - len(out))
+                out += part
+        return bytes(out), whole
+
     def _gzip(self, path, data, depth):
-        out, whole = _inflate(data, 31, min(self.b.entry_bytes, self.b.ratio * max(1, len(data))))
-        self._charge(len(out), self.b.archive_bytes)
         vpath = virtual_path(path, b"<gunzip>", f"g{0:016x}")
+        most = self.b.ratio * max(1, len(data))
+        out, whole = self._members(data, min(self.b.entry_bytes, most))
+        over = "inflation_ratio_exceeded" if len(out) > most else "entry_output_budget_exceeded" if len(out) > self.b.entry_bytes else None
+        out = out[: min(self.b.entry_bytes, most)]
+        self._charge(len(out), self.b.archive_bytes)
         if out:
             yield vpath, out, "scanned", None
-        if not whole or not out:
-            yield vpath, None, "partial", "gzip_corrupt"
+        if over or not whole or not data:
+            yield vpath, None, "partial", over or "gzip_corrupt"
 
     def _targz(self, path, data, depth):
-        out, whole = _inflate(data, 31, self.b.archive_bytes)
-        self._charge(0, self.b.archive_bytes)
-        if len(out) > max(1, len(data)) * self.b.ratio:
-            raise Stop("inflation_ratio_exceeded")
+        most = self.b.ratio * max(1, len(data))
+        out, whole = self._members(data, min(self.b.archive_bytes, most))
+        over = "inflation_ratio_exceeded" if len(out) > most else "archive_output_budget_exceeded" if len(out) > self.b.archive_bytes else None
         yield from self._tar(path, out, depth)
-        if not whole:
-            yield path, None, "partial", "gzip_corrupt"
+        if over or not whole:
+            yield path, None, "partial", over or "gzip_corrupt"
 
     def _tar(self, path, data, depth):
         at, entries, metadata, left, long_name = 0, 0, 0, self.b.archive_bytes, None
@@ -169,11 +186,11 @@ class Expander:
                     long_name = body.split(b"\0")[0]
                 elif kind == b"x":
                     k = 0
-                    while k < len(body) and (space := body.find(b" ", k)) > 0 and body[k:space].isdigit():
-                        record = body[space + 1 : k + int(body[k:space]) - 1]
-                        if record.startswith(b"path="):
-                            long_name = record[5:]
-                        k += int(body[k:space])
+                    # A record is its own length, a space, key=value and a line end; one that can't be ends the list.
+                    while (space := body.find(b" ", k, k + 20)) > k and body[k:space].isdigit() and space + 1 < (end := k + int(body[k:space])) <= len(body):
+                        if body[space + 1 : end].startswith(b"path="):
+                            long_name = body[space + 6 : end - 1]
+                        k = end
                 continue
             name, long_name = long_name or name, None
             entries += 1
@@ -209,7 +226,7 @@ class Expander:
             packed, full, names, extra, comment = struct.unpack("<IIHHH", head[20:34])
             local = struct.unpack("<I", head[42:46])[0]
             name = data[at + 46 : at + 46 + names]
-            valid = data[local : local + 4] == b"PK\x03\x04"
+            valid = data[local : local + 4] == b"PK\x03\x04" and local + 30 <= len(data)
             vpath = virtual_path(path, name, f"z{local:016x}" if valid else f"c{at:016x}")
             at += 46 + names + extra + comment
             if n >= self.b.entries:

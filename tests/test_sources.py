@@ -147,3 +147,65 @@ def test_policy_hash():
     rules = built_in()
     assert state.policy_hash(rules, Tuning()) == state.policy_hash(rules[::-1], Tuning())
     assert state.policy_hash(rules, Tuning()) != state.policy_hash(rules[1:], Tuning())
+
+
+def pax(body):
+    head = bytearray(512)
+    head[:4], head[124:136], head[156:157], head[257:263] = b"name", b"%011o\0" % len(body), b"x", b"ustar\0"
+    head[148:156] = b"%06o\0 " % (sum(head) + 8 * 32)
+    return bytes(head) + body.ljust(-(-len(body) // 512) * 512, b"\0")
+
+
+def test_no_archive_hangs_or_fails():
+    after = tar_of([("x", b"1")])
+    for body in (b"0 path=zz\n", b"3 path=zz\n", b"99999999999999999999 path=a\n", b"12 path=abc\n0 path=d\n", b" ", b""):
+        out = rows("a.tar", pax(body) + after)
+        assert [r[1] for r in out] == [b"1"] and ("abc" in out[0][0]) == (b"abc" in body)
+    two = gzip.compress(b"first ") + gzip.compress(b"second") + b"\0" * 20
+    assert [r[1:] for r in rows("a.gz", two)] == [(b"first second", "scanned", None)]
+    assert [r[3] for r in rows("a.gz", gzip.compress(b"\0" * 10**6))] == [None, "inflation_ratio_exceeded"]
+    assert [r[3] for r in rows("a.gz", gzip.compress(b"abc" * 100), entry_bytes=10)] == [None, "entry_output_budget_exceeded"]
+    assert rows("a.gz", two[:-30])[-1][3] == "gzip_corrupt" and rows("a.gz", b"")[0][3] == "gzip_corrupt"
+    assert rows("a.tgz", gzip.compress(tar_of([("x", b"\0" * 10**6)])))[-1][3] in ("inflation_ratio_exceeded", "malformed_tar")
+    whole = zip_of([("a", b"1"), ("b", b"2")])
+    moved = bytearray(whole)
+    at = moved.rfind(b"PK\x01\x02")
+    moved[at + 42 : at + 46] = (len(whole) - 3).to_bytes(4, "little")
+    assert [r[3] for r in rows("a.zip", bytes(moved))] == [None, "corrupt_entry"]
+    for k in range(len(whole)):
+        for data in (whole[:k], whole[:k] + bytes([whole[k] ^ 0xFF]) + whole[k + 1 :]):
+            list(archives.Expander(archives.Budgets()).expand("a.zip", "zip", data))
+    for k in range(0, len(after), 7):
+        list(archives.Expander(archives.Budgets()).expand("a.tar", "tar", after[:k] + b"\xff" + after[k + 1 :]))
+
+
+def test_odd_files(spark, tmp_path):
+    import os
+
+    odd = os.fsencode(tmp_path) + b"/\xff\xfe.txt"
+    with open(odd, "wb") as f:
+        f.write(b"k " + TOKEN)
+    (tmp_path / "large.bin").write_bytes(b"x" * 5000)
+    (tmp_path / "large.gz").write_bytes(gzip.compress(os.urandom(3000) + b" " + TOKEN))
+    (tmp_path / "loop").symlink_to(tmp_path)
+    found = files.files(spark, str(tmp_path), maxFileSize=2000, followSymlinks=True).collect()
+    by = {bytes(r.path_bytes): r for r in found}
+    assert by[odd].path.endswith("\\xff\\xfe.txt") and by[odd].length == 42 and len(found) == 3
+    assert by[os.fsencode(tmp_path / "large.bin")].reason == "over_size_cap"
+    hits = files.scan_path(spark, str(tmp_path), maxFileSize=2000).collect()
+    assert len(hits) == 2 and any("large.gz::" in h.object_id for h in hits)
+
+
+@pytest.mark.parametrize("rule,path,is_dir,gone", [("*.log", "a/b.log", False, True), ("a/*.log", "a/b/c.log", False, False), ("a/**/c", "a/x/y/c", False, True), ("**/c", "c", False, True), ("/x", "a/x", False, False), ("d/", "d", False, False), ("d/", "q/d", True, True), ("x/**", "x/y/z", False, True), ("[ab]?", "q/ac", False, True), ("\\#x", "#x", False, True), ("a*b*c", "a1b2c", False, True), ("a*b*c", "a1b/2c", False, False)])
+def test_ignore_rules(rule, path, is_dir, gone):
+    assert files.ignored([("", [files._ignore_rule(rule + "\n")])], path, is_dir) is gone
+
+
+def test_ignore_files_of_folders(tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / ".gitignore").write_text("*.log\n# none\n\n")
+    (tmp_path / "sub" / ".gitignore").write_text("!keep.log\n/here\n")
+    for n in ("a.log", "here", "sub/keep.log", "sub/b.log", "sub/here"):
+        (tmp_path / n).write_text("x")
+    got = {p[len(str(tmp_path)) + 1 :] for p, _ in files.walk(str(tmp_path), respect_gitignore=True)}
+    assert got == {".gitignore", "here", "sub/.gitignore", "sub/keep.log"}
