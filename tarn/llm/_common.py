@@ -80,6 +80,39 @@ def only(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> D
     return rows.join(F.broadcast(ids) if few else ids, key, how)
 
 
+_cache: dict[object, object] = {}
+
+
+def worker_cache(key: object, make):
+    """What ``make`` gives, kept in a Python worker between tasks until another operator, or another key, asks for its own: workers outlive jobs, and hold one cache at a time."""
+    if key not in _cache:
+        _cache.clear()
+        _cache[key] = make()
+    return _cache[key]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python a thousand rows at a time, where the session hasn't another number than Spark's own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
+def tidy() -> None:
+    """Give back what a task of a Python worker has freed; allocators would keep it for as long as the worker lives."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone, null texts as empty ones; other columns can't clash."""
     return docs.select(

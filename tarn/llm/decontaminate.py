@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm._common import texts
+from tarn.llm._common import small_batches, texts, tidy, worker_cache
 
 K1, B = 1.2, 0.75
 #: Items in a block that has its own bound.
@@ -236,6 +236,7 @@ class Index:
 def _indexes(items: DataFrame, item_text_col: str, words: int, overlap: float, shard_items: int, shard_bytes: int, most_words: int):
     """A broadcast index for each shard of the different texts of ``items``, by the SHA-256 of the text."""
     spark = items.sparkSession
+    small_batches(spark)
     tests = _with_words(items.select(items[item_text_col].cast("string").alias("text"))).distinct().select("text", F.sha2("text", 256).alias("digest"))
     size = tests.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     shards = max(1, -(-size.n // max(1, shard_items // 2)), -(-(size.bytes or 0) // max(1, shard_bytes // 2)))
@@ -275,16 +276,17 @@ def without(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_t
 
 def _filter(shared, at: int):
     def run(batches):
-        index = shared.value
+        index = worker_cache("index", lambda: None) or shared.value  # other operators' caches go
         for batch in batches:
             yield batch.filter(pa.array([not (t.is_valid and index.matches(t.as_buffer().to_pybytes())) for t in batch.column(at)], pa.bool_()))
+        tidy()
 
     return run
 
 
 def _search(shared):
     def run(batches):
-        index = shared.value
+        index = worker_cache("index", lambda: None) or shared.value  # other operators' caches go
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -292,5 +294,6 @@ def _search(shared):
             if rows:
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *map(pa.array, columns[1:])], ["doc_id", "digest", "score", "question_overlap", "answer_overlap"])
+        tidy()
 
     return run

@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from tarn.llm._common import small_batches, tidy, worker_cache
+
 UNKNOWN = "und"
 DIMENSIONS = 1 << 16
 BLOCK = 64
@@ -254,7 +256,7 @@ def train(rows: list[tuple[str, str]], *, rounds: int = 40, rate: float = 0.15,
 class Emissions(dict):
     """Rows of a growing table by word; ``most`` bounds it."""
 
-    def __init__(self, model: Model, most: int = 500_000):
+    def __init__(self, model: Model, most: int = 400_000):
         import numpy as np
 
         self.model, self.most = model, most
@@ -271,14 +273,12 @@ class Emissions(dict):
         return k
 
 
-_emissions: dict[str, Emissions] = {}
-
-
 def predict(docs: DataFrame, model: Model | None, key: str = "", carried: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each row by its text alone, and the ``carried`` columns, ``text`` last."""
     docs = docs.select("doc_id", "text", (fold(docs.doc_id) == 2).alias("held_out"), *[c for c in carried if c != "text"])
     if model is None:
         return docs.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *carried)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", "held_out", "lang_pred", "score", *carried]
     schema = StructType([*docs.select("doc_id", "held_out").schema, StructField("lang_pred", StringType()), StructField("score", DoubleType()), *docs.select(*carried).schema])
@@ -287,10 +287,7 @@ def predict(docs: DataFrame, model: Model | None, key: str = "", carried: tuple[
         import numpy as np
 
         model = shared.value
-        if _emissions.get("key") != key:
-            _emissions.clear()
-            _emissions["key"], _emissions["of"] = key, Emissions(model)
-        known = _emissions["of"]
+        known = worker_cache(("emissions", key), lambda: Emissions(model))
         for batch in _small(batches):
             if len(known) > known.most:
                 known.clear()
@@ -313,11 +310,12 @@ def predict(docs: DataFrame, model: Model | None, key: str = "", carried: tuple[
             best = mean.argmax(1)
             lang = [model.languages[b] if n else UNKNOWN for b, n in zip(best, sizes, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lang, pa.string()), pa.array(np.minimum(mean.max(1), 1.0)), *batch.columns[3:], *([batch.column(1)] if "text" in carried else [])], names)
+        tidy()
 
     return docs.mapInArrow(run, schema)
 
 
-def _small(batches, most: int = 4 << 20):
+def _small(batches, most: int = 1 << 20):
     """Batches of about ``most`` bytes of text."""
     for batch in batches:
         at, size = 0, 0

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tarn.llm._common import texts
+from tarn.llm._common import small_batches, texts, tidy, worker_cache
 
 SCHEMA = "doc_id long, start long, length long, token_ids binary, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("token_ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -72,7 +72,7 @@ class ChunkTokenizer(dict):
     bounds the cache.
     """
 
-    def __init__(self, file: str, most: int = 700_000):
+    def __init__(self, file: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -142,7 +142,7 @@ def least_slack(counts: dict[int, int], capacity: int) -> tuple[int, dict[int, i
 
 
 class Pool:
-    """Pieces that wait, by length; pieces of a length leave in the order they came."""
+    """Pieces that wait, by length; of a length the last to come leaves first."""
 
     def __init__(self) -> None:
         self.waiting: dict[int, list] = defaultdict(list)
@@ -241,15 +241,12 @@ def pack(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text_c
                 rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
+        tidy()
 
+    small_batches(docs.sparkSession)
     return texts(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 
 
-_loaded: dict[str, ChunkTokenizer] = {}
-
-
 def _tokenizer(file: str) -> ChunkTokenizer:
     """One for each Python worker; its cache serves later tasks too."""
-    if file not in _loaded:
-        _loaded[file] = ChunkTokenizer(file)
-    return _loaded[file]
+    return worker_cache(("tokenizer", file), lambda: ChunkTokenizer(file))
