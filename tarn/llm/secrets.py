@@ -12,7 +12,9 @@ Only DataFrame functions run on the rows.
 
 Defined results: a null text is an empty one; repeated rows and rows that share an id
 are scanned one by one (a candidate id selects all its rows); rows with a null id are
-scanned in full; an empty table gives no rows; texts of any length are scanned whole.
+scanned in full; spans that start at one place come in the order of the rules; columns
+other than id and text are left out, whatever their names, but for ``keep``; an empty
+table gives no rows; texts of any length are scanned whole.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm._common import MOST_IDS, materialise
 from tarn.llm.spans import clean, joined, with_matches
 
 
@@ -49,7 +52,7 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", True, 0, 20, r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]+", True, 0, 24, r"(?<![0-9a-f])[0-9a-f]{24,}+"),
 )
-#: Public token formats beside the base rules.
+#: Public token formats beside the base rules.
 MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -175,8 +178,15 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, *, id_col: str
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     assert all(len(c) < 63 for q in queries.values() for c in q)
     if queries:
+        # Candidates are few, and written once, so texts needn't move; if they aren't few, rows without an id stay out of the join.
         trigrams = sorted({t for q in queries.values() for c in q for t in c})
-        docs = docs.join(candidates(postings(docs, trigrams, "text"), queries), "doc_id", "left")
+        named = docs.where("doc_id is not null")
+        found = materialise(candidates(postings(named, trigrams, "text"), queries), "candidates")
+        if found.limit(MOST_IDS + 1).count() <= MOST_IDS:
+            docs = docs.join(F.broadcast(found), "doc_id", "left")
+        else:
+            nameless = docs.where("doc_id is null").withColumn("rules", F.lit(None).cast("array<string>"))
+            docs = named.join(found, "doc_id", "left").select(*nameless.columns).unionAll(nameless)
     else:
         docs = docs.withColumn("rules", F.lit(None).cast("array<string>"))
     found = []
