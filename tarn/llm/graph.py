@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm._common import materialise
+from tarn.llm._common import drop, materialise
 
 
 ROWS_PER_FILE = 250_000
@@ -21,7 +21,10 @@ def _large_star(edges: DataFrame, parts: int) -> DataFrame:
     """Link each neighbour larger than u to the smallest in u's neighbourhood."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = materialise(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")).coalesce(parts), "least")
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("b"), F.col("m").alias("a")).where("a <> b").distinct()
+    large = both.where("b > a").join(least, "a").select(F.col("b").alias("b"), F.col("m").alias("a")).where("a <> b").distinct()
+    out = materialise(large.coalesce(parts), "large")
+    drop(least)
+    return out
 
 
 def _small_star(edges: DataFrame, parts: int) -> DataFrame:
@@ -29,7 +32,10 @@ def _small_star(edges: DataFrame, parts: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = materialise(down.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts), "least")
     moved = down.join(least, "u").select(F.col("v").alias("b"), F.col("m").alias("a"))
-    return moved.unionAll(least.select(F.col("u").alias("b"), F.col("m").alias("a"))).where("a <> b").distinct()
+    star = moved.unionAll(least.select(F.col("u").alias("b"), F.col("m").alias("a"))).where("a <> b").distinct()
+    out = materialise(star.select("a", "b").coalesce(parts), "star")
+    drop(least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,8 +44,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     parts = max(8, now.count() // ROWS_PER_FILE)  # many small files would cost more than the work
     while True:
-        large = materialise(_large_star(now, parts).coalesce(parts), "large")
-        now = materialise(_small_star(large, parts).select("a", "b").coalesce(parts), "star")
+        large = _large_star(now, parts)
+        drop(now)
+        now = _small_star(large, parts)
+        drop(large)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
