@@ -20,6 +20,7 @@ def parser() -> argparse.ArgumentParser:
     git.add_argument("--repo", required=True)
     git.add_argument("--start-set", choices=("default", "remotes", "branches_and_tags"), default="default")
     for k in (fs, git):
+        k.add_argument("--shared", help="a folder that all executors share, where the session has no spark.checkpoint.dir")
         k.add_argument("--output", help="a folder for JSON lines; standard output without it")
     return p
 
@@ -31,6 +32,8 @@ def main(argv: list[str] | None = None) -> int:
     from tarn.sources import events
 
     spark = SparkSession.builder.appName("tarn").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    if args.shared:
+        spark.sparkContext.setCheckpointDir(args.shared)
     began = time.time()
     if args.source == "fs":
         from tarn.sources.files import scan_path

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,6 +39,7 @@ _BY_NAME = {r.name: r for r in built_in()}
 GENERIC = portable(_BY_NAME["generic-api-key"].pattern, "java")
 #: Whether the pattern can match at all, without its dear beginning.
 GENERIC_ANCHOR = r"(?i)(?:access|auth|api|credential|creds|key|passw(?:or)?d|secret|token)"
+#: The formats of three of the built-in rules' tokens, in the syntax that both engines read.
 PAT, AWS = "ghp_[0-9a-zA-Z]{36}", "(?:A3T[A-Z0-9]|AKIA|ASIA|ABIA|ACCA)[A-Z2-7]{16}"
 JWT = r"eyJ[a-zA-Z0-9]{16,}\.eyJ[a-zA-Z0-9/_-]{16,}\.[a-zA-Z0-9/_-]{10,}"
 
@@ -110,9 +112,11 @@ def confirm_all(spark, sf_dir):
     return _text(spark, sf_dir).where(F.forall(F.lit(["token", " = "]), lambda a: F.contains("text", a))).select("doc_id")
 
 
-@query("SELECT doc_id FROM documents WHERE contains(text, 'AKIA')")
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 = 0 OR contains(text, 'AKIA')")
 def must_contain(spark, sf_dir):
-    return _text(spark, sf_dir).where(F.contains("text", F.lit("AKIA"))).select("doc_id")
+    """O-must-contain: every third document has the literal planted behind its text."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" AKIA"))).otherwise(F.col("text"))
+    return _text(spark, sf_dir).where(F.contains(text, F.lit("AKIA"))).select("doc_id")
 
 
 @query(f"""WITH {PLANTED}, c AS (SELECT doc_id, unnest(string_split(token, '')) AS ch FROM p), n AS (SELECT doc_id, ch, count(*) AS k FROM c GROUP BY ALL),
@@ -153,16 +157,30 @@ def assign_shape(spark, sf_dir):
     return _text(spark, sf_dir).select("doc_id", gates.assignment_shape(F.col("text")).alias("shaped"))
 
 
+def _decoder(decode):
+    """A decoder of the scan as a function of columns, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: decode(v.encode()).decode("utf-8", "replace"), na_action="ignore")
+
+    return run
+
+
 @query(f"WITH {PLANTED} SELECT doc_id, regexp_extract(url_decode(replace(token, '_', '%5F')), '{PAT}') AS secret FROM p")
 def url_decode_scan(spark, sf_dir):
+    from tarn.functions import codecs
+
     encoded = planted(spark, sf_dir).select("doc_id", F.replace("token", F.lit("_"), F.lit("%5F")).alias("e"))
-    return encoded.select("doc_id", F.regexp_extract(F.try_url_decode("e"), PAT, 0).alias("secret"))
+    return encoded.select("doc_id", F.regexp_extract(_decoder(lambda x: codecs.url_decode(x).data)("e"), PAT, 0).alias("secret"))
 
 
 @query(f"WITH {PLANTED} SELECT doc_id, regexp_extract(decode(from_base64(to_base64(encode(token)))), '{PAT}') AS secret FROM p")
 def b64_decode_scan(spark, sf_dir):
     encoded = planted(spark, sf_dir).select("doc_id", F.translate(F.base64("token"), "+/", "-_").alias("e"))
-    return encoded.select("doc_id", F.regexp_extract(F.decode(F.try_to_binary(F.translate("e", "-_", "+/"), F.lit("base64")), "UTF-8"), PAT, 0).alias("secret"))
+    from tarn.functions import codecs
+
+    return encoded.select("doc_id", F.regexp_extract(_decoder(lambda x: codecs.base64_decode(x).data)("e"), PAT, 0).alias("secret"))
 
 
 @query(f"""WITH {PLANTED}, s AS (SELECT doc_id, token, substr('abc', 1, (doc_id % 4)::BIGINT) || to_base64(encode(token)) AS e FROM p), a AS (SELECT doc_id, token, e, unnest(range(4)) AS shift FROM s)
@@ -196,11 +214,16 @@ def chunk_explode(spark, sf_dir):
 
 @query("""WITH c AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 1000)) AS pos FROM documents),
 d AS (SELECT doc_id, pos - least(pos, 100) AS base, least(pos, 100) AS prefix, substr(text, pos - least(pos, 100) + 1, 1000 + least(pos, 100)) AS piece FROM c),
-f AS (SELECT doc_id, base, prefix, position('th' IN piece) AS p FROM d) SELECT doc_id, base + p - 1 AS start FROM f WHERE p > 0 AND base + p + 1 > base + prefix""")
+f AS (SELECT doc_id, base, prefix, piece, unnest(range(1, length(piece))) AS p FROM d) SELECT doc_id, base + p - 1 AS start FROM f WHERE substr(piece, p, 2) = 'th' AND p + 1 > prefix""")
 def drop_prefix(spark, sf_dir):
+    """O-drop-prefix: every hit of a chunk, less those that end in what it carries from the chunk before; each hit of a document comes once."""
     docs = _text(spark, sf_dir).select("doc_id", "text", F.explode(F.expr("sequence(0L, greatest(0L, length(text) - 1L), 1000L)")).alias("at")).withColumn("prefix", F.least("at", F.lit(100)))
-    found = docs.select("doc_id", (F.col("at") - F.col("prefix")).alias("base"), "prefix", F.expr("instr(substring(text, cast(at - prefix + 1 as int), cast(1000 + prefix as int)), 'th')").alias("p"))
-    return found.where((F.col("p") > 0) & (F.col("base") + F.col("p") + 1 > F.col("base") + F.col("prefix"))).select("doc_id", (F.col("base") + F.col("p") - 1).alias("start"))
+    piece = F.expr("substring(text, cast(at - prefix + 1 as int), cast(1000 + prefix as int))")
+    # Places of the hits: the lengths of what the hits part, summed up.
+    parts = F.expr("transform(slice(split(piece, 'th', -1), 1, size(split(piece, 'th', -1)) - 1), x -> length(x))")
+    ends = F.expr("aggregate(parts, named_struct('at', 0, 'all', cast(array() as array<int>)), (s, x) -> named_struct('at', s.at + x + 2, 'all', array_append(s.all, s.at + x + 1)), s -> s.all)")
+    found = docs.withColumn("piece", piece).withColumn("parts", parts).select("doc_id", "at", "prefix", F.explode(ends).alias("p"))
+    return found.where(F.col("p") + 1 > F.col("prefix")).select("doc_id", (F.col("at") - F.col("prefix") + F.col("p") - 1).alias("start"))
 
 
 @query(f"""WITH {PLANTED}, f AS (SELECT doc_id, token, false AS decoded, 40 + doc_id % 3 AS root_end FROM p UNION ALL SELECT doc_id, token, true, 40 + doc_id % 5 FROM p WHERE doc_id % 2 = 0),

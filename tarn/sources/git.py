@@ -53,9 +53,11 @@ def refs(repo: str) -> list[tuple[str, str]]:
     if os.path.exists(packed):
         with open(packed, encoding="utf-8") as f:
             for line in f:
-                if re.match("[0-9a-f]{40}", line):
-                    oid, name = line.split()
-                    out[name] = oid
+                if m := re.fullmatch(r"([0-9a-f]{40}|[0-9a-f]{64}) (\S+)\s*", line):
+                    last = m[2]
+                    out[last] = m[1]
+                elif m := re.fullmatch(r"\^([0-9a-f]{40}|[0-9a-f]{64})\s*", line):
+                    out[last] = m[1]  # what the annotated tag above is of
     for path in glob.glob(os.path.join(at, "refs", "**"), recursive=True):
         if os.path.isfile(path):
             with open(path, encoding="utf-8") as f:
@@ -134,6 +136,18 @@ def parse_index(data: bytes) -> list[tuple[str, int]]:
     return [(i, o if o < 1 << 31 else struct.unpack(">Q", data[large + 8 * (o & 0x7FFFFFFF) :][:8])[0]) for i, o in zip(ids, offsets, strict=True)]
 
 
+def _inflate(data: bytes, at: int, step: int = 64 << 10) -> bytes:
+    """The zlib stream that begins at ``at``, read in steps; the rest of the pack isn't copied."""
+    d, out, view = zlib.decompressobj(), [], memoryview(data)
+    while not d.eof:
+        piece = view[at : at + step]
+        if not piece:
+            raise ValueError("a truncated object")
+        out.append(d.decompress(piece))
+        at += step
+    return b"".join(out)
+
+
 class Pack:
     def __init__(self, path: str, external=None, depth: int = 50):
         with open(path, "rb") as f:
@@ -166,7 +180,7 @@ class Pack:
         elif kind == 7:
             oid, k = self.data[k : k + 20].hex(), k + 20
             base = self.at(self.index[oid], depth + 1) if oid in self.index else self.external(oid)
-        body = zlib.decompressobj().decompress(self.data[k:])
+        body = _inflate(self.data, k)
         out = (TYPES[kind], body) if base is None else (base[0], apply_delta(base[1], body))
         if len(self.cache) > 2000:
             self.cache.clear()

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or the session's checkpoint folder; without either it is an error."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
-        known = tempfile.mkdtemp(prefix="tarn-shared-")
-        spark.sparkContext.setCheckpointDir(known)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return known.rstrip("/")
 
 
