@@ -1,28 +1,87 @@
 """History: commits, trees and blobs as tables, and what of them hasn't been seen.
 
-Walks are loops of joins over a frontier that shrinks; each round's frontier is written
-to the shared folder when the loop is long, so the lineage stays short. Work is bounded
-by what a round newly reaches.
+Commit graphs up to a counted size are walked in one task, however deep they are; larger
+ones by loops of joins over a frontier, each round written to the shared folder. Trees
+are walked level by level, all of a level in one join.
 """
 
 from __future__ import annotations
 
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tarn.sources.storage import materialise
 
 
-def reachable(tips: DataFrame, edges: DataFrame) -> DataFrame:
-    """All ids reachable from ``tips`` (id) over ``edges`` (child, parent), tips included."""
-    seen = frontier = materialise(tips.select("id").distinct(), "tips")
+#: A commit graph of up to so many edges is walked in one task, which holds it as lists; the count comes first.
+MOST_EDGES = 2_000_000
+
+
+def _fits(edges: DataFrame) -> bool:
+    return edges.limit(MOST_EDGES + 1).count() <= MOST_EDGES
+
+
+def _in_one_task(nodes: DataFrame, edges: DataFrame, run, schema: StructType) -> DataFrame:
+    """``run`` of (pairs of nodes, parents by child) in one task; ``nodes`` has two columns, ``edges`` (child, parent)."""
+    first, second = nodes.columns
+    fields = nodes.schema
+    tagged = nodes.select(F.col(first).alias("a"), F.col(second).alias("b"), F.lit(None).cast(edges.schema["child"].dataType).alias("child"), F.lit(None).cast(edges.schema["parent"].dataType).alias("parent"))
+    both = tagged.unionAll(edges.select(F.lit(None).cast(fields[first].dataType), F.lit(None).cast(fields[second].dataType), "child", "parent"))
+
+    def task(batches):
+        pairs, parents = [], {}
+        for batch in batches:
+            for a, b, child, parent in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if child is None:
+                    pairs.append((a, b))
+                else:
+                    parents.setdefault(child, []).append(parent)
+        rows = iter(run(pairs, parents))
+        arrow = to_arrow_schema(schema)
+        while block := list(islice(rows, 1 << 16)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*block, strict=True), arrow, strict=True)], schema=arrow)
+
+    return both.repartition(1).mapInArrow(task, schema)
+
+
+def reachable_by(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(ref, id) of all ids reachable from ``starts`` (ref, id) over ``edges`` (child, parent), starts included; one walk for all refs."""
+    starts = starts.select("ref", "id").distinct()
+    if _fits(edges):
+
+        def run(pairs, parents):
+            tips: dict = {}
+            for ref, tip in pairs:
+                tips.setdefault(ref, []).append(tip)
+            for ref, stack in tips.items():
+                seen = set(stack)
+                while stack:
+                    at = stack.pop()
+                    yield ref, at
+                    for p in parents.get(at, ()):
+                        if p not in seen:
+                            seen.add(p)
+                            stack.append(p)
+
+        return materialise(_in_one_task(starts, edges, run, starts.schema), "reached")
+    seen = frontier = materialise(starts, "starts")
     while not frontier.isEmpty():
-        step = frontier.join(edges, frontier.id == edges.child).select(F.col("parent").alias("id")).distinct().join(seen, "id", "left_anti")
+        step = frontier.join(edges, frontier.id == edges.child).select("ref", F.col("parent").alias("id")).distinct().join(seen, ["ref", "id"], "left_anti")
         frontier = materialise(step, "frontier")
         seen = materialise(seen.unionAll(frontier), "seen")
     return seen
 
 
+def reachable(tips: DataFrame, edges: DataFrame) -> DataFrame:
+    """All ids reachable from ``tips`` (id) over ``edges`` (child, parent), tips included."""
+    return reachable_by(tips.select(F.lit("").alias("ref"), "id"), edges).select("id")
+
+
 def commit_range(tips: DataFrame, watermarks: DataFrame, edges: DataFrame) -> DataFrame:
     """reachable(tips) less reachable(watermarks)."""
     return reachable(tips, edges).join(reachable(watermarks, edges), "id", "left_anti")
@@ -38,28 +97,41 @@ def introduced(refs: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFra
     missing = refs.join(commits.select(F.col("id").alias("tip")), "tip", "left_anti")
     if not missing.isEmpty():
         raise ValueError("a tip isn't in the commit graph")
-    rows = refs.collect()  # refs are names on the driver already
-    marks = refs.where("watermark is not null").select(F.col("watermark").alias("id")).distinct()
-    covered = reachable(marks.join(commits, "id", "left_semi").select("id"), edges)
-    out = None
-    for r in rows:
-        one = refs.where(F.col("ref") == r.ref)
-        tip = one.select(F.col("tip").alias("id"))
-        if r.watermark is None and not covered.join(tip, "id", "left_semi").isEmpty():
-            continue
-        own = reachable(tip, edges)
-        if r.watermark is not None:
-            mark = one.select(F.col("watermark").alias("id"))
-            if not own.join(mark, "id", "left_semi").isEmpty():
-                own = own.join(reachable(mark, edges), "id", "left_anti")
-        out = own if out is None else out.unionAll(own)
-    return commits.limit(0).select("id") if out is None else out.distinct()
+    marked = refs.where("watermark is not null").select("ref", F.col("watermark").alias("id")).join(commits.select("id"), "id", "left_semi")
+    behind = reachable_by(marked.select("ref", "id"), edges)
+    old = refs.where("watermark is null").select("ref", F.col("tip").alias("id")).join(behind.select("id").distinct(), "id", "left_semi").select("ref")
+    ahead = reachable_by(refs.join(old, "ref", "left_anti").select("ref", F.col("tip").alias("id")), edges)
+    fitting = marked.join(ahead, ["ref", "id"], "left_semi").select("ref")
+    covered = behind.join(fitting, "ref", "left_semi")
+    return ahead.join(covered, ["ref", "id"], "left_anti").select("id").distinct()
 
 
 def generations(commits: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, generation): 1 for roots, else 1 + the largest of the parents'; each round settles the next generation at least."""
-    from pyspark.sql import functions as F
-
+    """(id, generation): 1 for roots, else 1 + the largest of the parents'. Each round of the loop settles the next generation at least."""
+    if _fits(edges):
+
+        def run(pairs, parents):
+            known: dict = {}
+            left, children = {}, {}
+            for child, own in parents.items():
+                left[child] = len(own)
+                for p in own:
+                    children.setdefault(p, []).append(child)
+            ready = [i for i, _ in pairs if i not in parents]
+            known.update((i, 1) for i in ready)
+            while ready:
+                at = ready.pop()
+                for child in children.get(at, ()):
+                    left[child] -= 1
+                    known[child] = max(known.get(child, 1), known[at] + 1)
+                    if not left[child]:
+                        ready.append(child)
+            # What is behind a missing parent, or in a circle, has no generation.
+            yield from ((i, g) for i, g in known.items() if not left.get(i))
+
+        nodes = commits.select("id", F.lit(0).alias("none"))
+        schema = StructType([commits.schema["id"], StructField("generation", LongType())])
+        return materialise(_in_one_task(nodes, edges.distinct(), run, schema), "generation")
     known = materialise(commits.join(edges, commits.id == edges.child, "left_anti").select("id", F.lit(1).cast("long").alias("generation")), "generation")
     frontier = known
     while not frontier.isEmpty():
@@ -80,6 +152,47 @@ def tree_diff(new: DataFrame, old: DataFrame) -> DataFrame:
     return both.select(F.col("n.path").alias("path"), F.col("n.oid").alias("oid"), change.alias("change")).where("change is not null")
 
 
+BLOBS = ("file", "executable", "symlink")
+
+
+def tree_changes(pairs: DataFrame, entries: DataFrame, max_depth: int = 256) -> DataFrame:
+    """(commit_id, parent_idx, path, oid, mode, change) of blobs that trees add or modify against a parent's.
+
+    ``pairs`` has (commit_id, parent_idx, new, old): tree ids, ``old`` null for the empty tree;
+    ``entries`` (tree, name, oid, kind, mode). Subtrees with equal ids are never opened;
+    deletions, gitlinks and unknown modes give nothing.
+    """
+    level, out = pairs, None
+    level = level.withColumn("prefix", F.lit("")).where("old is null or old <> new")
+    was = entries.select(F.col("tree").alias("old"), "name", F.col("oid").alias("old_oid"), F.col("kind").alias("old_kind"))
+    for _ in range(max_depth):
+        own = level.join(entries, level.new == entries.tree).select("commit_id", "parent_idx", "old", "prefix", "name", "oid", "kind", "mode")
+        both = own.join(was, ["old", "name"], "left").where("(old_oid is null or old_oid <> oid) and kind in ('file', 'executable', 'symlink', 'tree')")
+        found = materialise(both.select("commit_id", "parent_idx", F.concat("prefix", "name").alias("path"), "oid", "kind", "mode", "old_oid", "old_kind"), "changes")
+        modified = F.coalesce(F.col("old_kind").isin(*BLOBS), F.lit(False))
+        blobs = found.where(F.col("kind").isin(*BLOBS)).select("commit_id", "parent_idx", "path", "oid", "mode", F.when(modified, "Modify").otherwise("Add").alias("change"))
+        out = blobs if out is None else out.unionAll(blobs)
+        level = found.where("kind = 'tree'").select("commit_id", "parent_idx", F.col("oid").alias("new"), F.when(F.col("old_kind") == "tree", F.col("old_oid")).alias("old"), F.concat("path", F.lit("/")).alias("prefix"))
+        if level.isEmpty():
+            return out
+    raise ValueError(f"trees deeper than {max_depth}")
+
+
+def candidates(commits: DataFrame, graph: DataFrame, entries: DataFrame, merge_mode: str = "all_parents") -> DataFrame:
+    """Changes of ``commits`` (id) against their parents; ``graph`` (id, tree, parents) has all known commits.
+
+    ``all_parents`` gives one diff for each parent, ``first_parent`` the first one alone. A commit
+    without parents, or whose parent isn't known, is compared with the empty tree.
+    """
+    own = graph.join(commits.select("id"), "id", "left_semi")
+    each = own.select(F.col("id").alias("commit_id"), F.col("tree").alias("new"), F.posexplode_outer("parents").alias("at", "parent"))
+    if merge_mode == "first_parent":
+        each = each.where("at is null or at = 0")
+    old = graph.select(F.col("id").alias("parent"), F.col("tree").alias("old"))
+    pairs = each.join(old, "parent", "left").select("commit_id", F.coalesce("at", F.lit(0)).alias("parent_idx"), "new", "old")
+    return tree_changes(materialise(pairs, "pairs"), entries)
+
+
 def flatten_trees(roots: DataFrame, entries: DataFrame, max_depth: int = 256) -> DataFrame:
     """(root, path, oid, kind) of every entry below ``roots`` (root); ``entries`` has (tree, name, oid, kind). Gitlinks and unknown modes are left out."""
     level = roots.select("root", F.col("root").alias("tree"), F.lit("").alias("prefix"))
