@@ -123,14 +123,14 @@ def apply_delta(base: bytes, delta: bytes) -> bytes:
     return bytes(out)
 
 
-def parse_index(data: bytes) -> list[tuple[str, int]]:
-    """(object id, offset) of a version 2 pack index."""
+def parse_index(data: bytes, wide: int = 20) -> list[tuple[str, int]]:
+    """(object id, offset) of a version 2 pack index with ids of ``wide`` bytes."""
     if data[:8] != b"\xfftOc\0\0\0\2":
         raise ValueError("not a version 2 index")
     n = struct.unpack(">I", data[8 + 255 * 4 : 8 + 256 * 4])[0]
     at = 8 + 1024
-    ids = [data[at + 20 * k : at + 20 * k + 20].hex() for k in range(n)]
-    at += 24 * n
+    ids = [data[at + wide * k : at + wide * (k + 1)].hex() for k in range(n)]
+    at += (wide + 4) * n
     offsets = struct.unpack(f">{n}I", data[at : at + 4 * n])
     large = at + 4 * n
     return [(i, o if o < 1 << 31 else struct.unpack(">Q", data[large + 8 * (o & 0x7FFFFFFF) :][:8])[0]) for i, o in zip(ids, offsets, strict=True)]
@@ -148,45 +148,72 @@ def _inflate(data: bytes, at: int, step: int = 64 << 10) -> bytes:
     return b"".join(out)
 
 
+#: Bytes of decoded objects that a pack's task keeps as bases.
+CACHE_BYTES = 256 << 20
+
+
 class Pack:
-    def __init__(self, path: str, external=None, depth: int = 50):
+    def __init__(self, path: str, external=None, wide: int = 20):
         with open(path, "rb") as f:
             self.data = f.read()
         if self.data[:4] != b"PACK":
             raise ValueError("not a pack")
         with open(path[:-5] + ".idx", "rb") as f:
-            self.index = dict(parse_index(f.read()))
-        self.external, self.depth = external, depth
+            self.index = dict(parse_index(f.read(), wide))
+        self.external, self.wide = external, wide
         self.cache: dict[int, tuple[str, bytes]] = {}
+        self.held = 0
 
-    def at(self, offset: int, depth: int = 0) -> tuple[str, bytes]:
-        if offset in self.cache:
-            return self.cache[offset]
-        if depth > self.depth:
-            raise ValueError("a delta chain too deep")
+    def _entry(self, offset: int) -> tuple[int, int, int | str | None]:
+        """(kind, where the zlib stream begins, the base's offset or id)."""
         k, b = offset + 1, self.data[offset]
         kind = b >> 4 & 7
         while b & 128:
             b = self.data[k]
             k += 1
-        base = None
         if kind == 6:
             b = self.data[k]
             back, k = b & 127, k + 1
             while b & 128:
                 b = self.data[k]
                 back, k = (back + 1) << 7 | b & 127, k + 1
-            base = self.at(offset - back, depth + 1)
-        elif kind == 7:
-            oid, k = self.data[k : k + 20].hex(), k + 20
-            base = self.at(self.index[oid], depth + 1) if oid in self.index else self.external(oid)
-        body = _inflate(self.data, k)
-        out = (TYPES[kind], body) if base is None else (base[0], apply_delta(base[1], body))
-        if len(self.cache) > 2000:
-            self.cache.clear()
-        self.cache[offset] = out
+            return kind, k, offset - back
+        if kind == 7:
+            oid = self.data[k : k + self.wide].hex()
+            return kind, k + self.wide, self.index.get(oid, oid)
+        return kind, k, None
+
+    def at(self, offset: int) -> tuple[str, bytes]:
+        """The object at ``offset``; chains of deltas of any length are followed to their base and built up from there."""
+        chain, seen, at = [], set(), offset
+        while at not in self.cache:
+            if at in seen:
+                raise ValueError("a delta chain that leads to itself")
+            seen.add(at)
+            kind, body, base = self._entry(at)
+            chain.append((at, body))
+            if base is None:
+                chain.pop()
+                self._keep(at, (TYPES[kind], _inflate(self.data, body)))
+                break
+            if isinstance(base, str):
+                out = self.external(base)
+                break
+            at = base
+        if not (chain and isinstance(base, str)):
+            out = self.cache[at]
+        for place, body in reversed(chain):
+            out = (out[0], apply_delta(out[1], _inflate(self.data, body)))
+            self._keep(place, out)
         return out
 
+    def _keep(self, offset: int, found: tuple[str, bytes]) -> None:
+        if len(self.cache) > 2000 or self.held > CACHE_BYTES:
+            self.cache.clear()
+            self.held = 0
+        self.cache[offset] = found
+        self.held += len(found[1])
+
 
 def loose(path: str) -> tuple[str, bytes]:
     with open(path, "rb") as f:
@@ -194,36 +221,93 @@ def loose(path: str) -> tuple[str, bytes]:
     return head.split()[0].decode(), body
 
 
-def _any_object(objects: str, oid: str) -> tuple[str, bytes]:
-    path = f"{objects}/{oid[:2]}/{oid[2:]}"
-    if os.path.exists(path):
-        return loose(path)
-    for pack in glob.glob(f"{objects}/pack/*.pack"):
-        p = Pack(pack)
-        if oid in p.index:
-            return p.at(p.index[oid])
-    raise KeyError(oid)
+def object_dirs(objects: str) -> list[str]:
+    """A folder of objects and its alternates, each once."""
+    out = [os.path.normpath(objects)]
+    for at in out:
+        listed = os.path.join(at, "info", "alternates")
+        if os.path.isfile(listed):
+            with open(listed, encoding="utf-8", errors="surrogateescape") as f:
+                out += [x for line in f if (p := line.strip()) and not p.startswith("#") and (x := os.path.normpath(os.path.join(at, p))) not in out]
+    return out
+
+
+def id_bytes(repo: str) -> int:
+    """20, or 32 in a repository whose configuration names SHA-256."""
+    path = os.path.join(git_dir(repo), "config")
+    if not os.path.isfile(path):
+        return 20
+    with open(path, encoding="utf-8", errors="surrogateescape") as f:
+        return 32 if re.search(r"(?im)^\s*objectformat\s*=\s*sha256\s*$", f.read()) else 20
+
+
+def preflight(repo: str, most_packs: int | None = None) -> dict[str, object]:
+    """What a scan will meet: packs, packs without an index, commit graph and multi-pack index, and locks of a running maintenance."""
+    at = git_dir(repo)
+    packs = [p for d in object_dirs(os.path.join(at, "objects")) for p in glob.glob(f"{d}/pack/*.pack")]
+    there = lambda *names: any(os.path.exists(os.path.join(at, "objects", n)) for n in names)
+    out = {
+        "packs": len(packs),
+        "packs_without_index": sum(not os.path.exists(p[:-5] + ".idx") for p in packs),
+        "commit_graph": there("info/commit-graph", "info/commit-graphs"),
+        "multi_pack_index": there("pack/multi-pack-index"),
+        "locked": [n for n in ("gc.pid", "shallow.lock", "packed-refs.lock", "objects/maintenance.lock") if os.path.exists(os.path.join(at, n))],
+        "id_bytes": id_bytes(repo),
+    }
+    if most_packs is not None and len(packs) > most_packs:
+        raise ValueError(f"{len(packs)} packs, more than {most_packs}: repack first")
+    return out
+
+
+class _Store:
+    """Objects by id, for bases outside of a pack; indexes are read once."""
+
+    def __init__(self, dirs: list[str], wide: int):
+        self.dirs, self.wide, self.packs = dirs, wide, None
+
+    def __call__(self, oid: str) -> tuple[str, bytes]:
+        for d in self.dirs:
+            path = f"{d}/{oid[:2]}/{oid[2:]}"
+            if os.path.exists(path):
+                return loose(path)
+        if self.packs is None:
+            self.packs = [Pack(p, self, self.wide) for d in self.dirs for p in sorted(glob.glob(f"{d}/pack/*.pack")) if os.path.exists(p[:-5] + ".idx")]
+        for p in self.packs:
+            if oid in p.index:
+                return p.at(p.index[oid])
+        raise KeyError(oid)
 
 
 class ObjectsReader(DataSourceReader):
     def __init__(self, options):
-        self.objects = os.path.join(git_dir(options["path"]), "objects")
+        self.dirs = object_dirs(os.path.join(git_dir(options["path"]), "objects"))
+        self.wide = id_bytes(options["path"])
 
     def partitions(self):
-        packs = [Part("pack", p) for p in sorted(glob.glob(f"{self.objects}/pack/*.pack"))]
-        return packs + [Part("loose", d) for d in sorted(glob.glob(f"{self.objects}/[0-9a-f][0-9a-f]"))] or [Part("none", "")]
+        parts = []
+        for d in self.dirs:
+            parts += [Part("pack", p) for p in sorted(glob.glob(f"{d}/pack/*.pack")) if os.path.exists(p[:-5] + ".idx")]
+            parts += [Part("loose", p) for p in sorted(glob.glob(f"{d}/[0-9a-f][0-9a-f]"))]
+        return parts or [Part("none", "")]
 
     def read(self, partition):
+        """Objects that can't be decoded are rows of type ``broken`` without content."""
         if partition.kind == "pack":
-            p = Pack(partition.path, lambda oid: _any_object(self.objects, oid))
+            p = Pack(partition.path, _Store(self.dirs, self.wide), self.wide)
             name = os.path.basename(partition.path)
             for oid, offset in sorted(p.index.items(), key=lambda x: x[1]):
-                kind, body = p.at(offset)
+                try:
+                    kind, body = p.at(offset)
+                except (ValueError, KeyError, IndexError, zlib.error):
+                    kind, body = "broken", None
                 yield oid, kind, body, name, offset
         elif partition.kind == "loose":
             for n in sorted(os.listdir(partition.path)):
                 if re.fullmatch("[0-9a-f]{38}|[0-9a-f]{62}", n):
-                    kind, body = loose(f"{partition.path}/{n}")
+                    try:
+                        kind, body = loose(f"{partition.path}/{n}")
+                    except (ValueError, OSError, zlib.error):
+                        kind, body = "broken", None
                     yield os.path.basename(partition.path) + n, kind, body, None, None
 
 
@@ -240,12 +324,12 @@ class GitSource(DataSource):
 
 
 def objects(spark: SparkSession, repo: str) -> DataFrame:
-    """Every object once: the copy of the first pack by name, or the loose one."""
+    """Every object once: a copy that can be decoded, of the first pack by name, or the loose one."""
     from tarn.operators.relational import prefer
 
     spark.dataSource.register(GitSource)
     found = spark.read.format("tarn_git").load(repo)
-    return prefer(found, ["oid"], F.col("pack").asc_nulls_last(), F.col("pack_offset"))
+    return prefer(found, ["oid"], F.col("type") == "broken", F.col("pack").asc_nulls_last(), F.col("pack_offset"))
 
 
 def commits(objects: DataFrame) -> DataFrame:
@@ -277,26 +361,111 @@ def tree_entries(objects: DataFrame, oid_bytes: int = 20) -> DataFrame:
     return objects.where("type = 'tree'").select("oid", "content").mapInArrow(run, "tree string, ord int, mode string, name string, oid string, kind string")
 
 
-def object_id(kind: str, body: bytes) -> str:
-    return hashlib.sha1(f"{kind} {len(body)}\0".encode() + body).hexdigest()
+def object_id(kind: str, body: bytes, wide: int = 20) -> str:
+    return (hashlib.sha1 if wide == 20 else hashlib.sha256)(f"{kind} {len(body)}\0".encode() + body).hexdigest()
+
+
+@dataclass
+class Tables:
+    """A repository's objects, its commits (id, tree, parents, ts), edges between commits that are there, and tree entries."""
+
+    objects: DataFrame
+    graph: DataFrame
+    edges: DataFrame
+    entries: DataFrame
+
+
+def tables(spark: SparkSession, repo: str) -> Tables:
+    from tarn.sources.storage import materialise
+
+    every = materialise(objects(spark, repo), "objects")
+    graph = materialise(commits(every), "commits")
+    links = graph.select(F.col("id").alias("child"), F.explode("parents").alias("parent"))
+    # A shallow clone names parents that it doesn't hold.
+    edges = materialise(links.join(graph.select(F.col("id").alias("parent")), "parent", "left_semi").select("child", "parent"), "edges")
+    return Tables(every, graph, edges, materialise(tree_entries(every, id_bytes(repo)), "entries"))
+
+
+def tips(spark: SparkSession, repo: str, t: Tables, which: str = "default", explicit: tuple[str, ...] = ()) -> DataFrame:
+    """(ref, tip) of a start set; tags are followed to what they name, refs that name no commit are left out."""
+    known = spark.createDataFrame(start_set(repo, which, explicit), "ref string, tip string")
+    target = F.regexp_extract(F.decode("content", "ISO-8859-1"), r"\Aobject ([0-9a-f]+)", 1)
+    tags = t.objects.where("type = 'tag'").select(F.col("oid").alias("tip"), target.alias("target"))
+    if not tags.isEmpty():
+        for _ in range(8):  # tags of tags
+            known = known.join(tags, "tip", "left").select("ref", F.coalesce("target", "tip").alias("tip"))
+    return known.join(t.objects.where("type <> 'commit'").select(F.col("oid").alias("tip")), "tip", "left_anti").select("ref", "tip")
+
+
+def _text_blobs(t: Tables, wanted: DataFrame) -> DataFrame:
+    from tarn.functions.gates import latin1, likely_binary
+
+    return t.objects.where("type = 'blob'").join(wanted.select("oid"), "oid", "left_semi").where(~likely_binary(latin1(F.col("content"))))
 
 
 def scan_repository(spark: SparkSession, repo: str, which: str = "default", seen: DataFrame | None = None, rules=None) -> tuple[DataFrame, DataFrame]:
     """(contexts, findings) of the blobs that commits reachable from a start set introduce; binary blobs are skipped."""
-    from tarn.functions.gates import latin1, likely_binary
     from tarn.operators import history
     from tarn.operators.scan import scan
-    from tarn.sources.storage import materialise
 
-    all_objects = materialise(objects(spark, repo), "objects")
-    graph = materialise(commits(all_objects), "commits")
-    edges = graph.select(F.col("id").alias("child"), F.explode("parents").alias("parent"))
-    tips = spark.createDataFrame([(o,) for _, o in start_set(repo, which)], "id string")
-    wanted = history.reachable(tips, edges).join(graph, "id")
-    order = history.generations(graph.select("id"), edges)
-    files = history.flatten_trees(wanted.select(F.col("tree").alias("root")).distinct(), tree_entries(all_objects))
+    t = tables(spark, repo)
+    wanted = history.reachable(tips(spark, repo, t, which).select(F.col("tip").alias("id")), t.edges).join(t.graph, "id")
+    order = history.generations(t.graph.select("id"), t.edges)
+    files = history.flatten_trees(wanted.select(F.col("tree").alias("root")).distinct(), t.entries)
     ranked = wanted.join(order, "id").select(F.col("tree").alias("root"), F.struct("generation", "id").alias("topo"))
     first = history.first_introduction(files.join(ranked, "root").select("oid", "topo", "path")).select("oid", F.col("topo.id").alias("commit_id"), "path")
     new = first if seen is None else history.unseen(first, seen)
-    blobs = all_objects.where("type = 'blob'").join(new.select("oid"), "oid", "left_semi").where(~likely_binary(latin1(F.col("content"))))
-    return new, scan(blobs, rules, id_col="oid").withColumnRenamed("object_id", "oid")
+    return new, scan(_text_blobs(t, new), rules, id_col="oid").withColumnRenamed("object_id", "oid")
+
+
+@dataclass
+class Run:
+    """An incremental run: its candidates' contexts, its findings (both as read back) and what became of it."""
+
+    contexts: DataFrame
+    findings: DataFrame
+    complete: bool
+    skipped: int
+    run: str
+
+
+def scan_changes(spark: SparkSession, repo: str, state, *, repo_id: str | None = None, which: str = "default", explicit: tuple[str, ...] = (), mode: str = "history", merge_mode: str = "all_parents", path_version: int = 1, rules=None, tuning=None) -> Run:
+    """Scan what a repository's refs have gained since the last complete run in ``state``.
+
+    ``history`` compares each new commit's tree with its parents' and scans blobs that were
+    never seen; ``snapshot`` compares the tips alone with the empty tree. State is kept by repository,
+    policy (rules, tuning, merge mode and path version) and start set. Blobs that are named
+    but missing or broken count as skipped; then the refs' watermarks stay where they were,
+    and so do these blobs out of ``seen_blob``.
+    """
+    from tarn.functions.gates import excluded, path_class
+    from tarn.functions.rules import built_in
+    from tarn.operators import history
+    from tarn.operators.scan import Tuning, scan
+    from tarn.sources import state as kept
+    from tarn.sources.storage import materialise
+
+    own, tuning = tuple(rules) if rules is not None else None, tuning or Tuning()
+    repo_id = repo_id or os.path.realpath(repo)
+    policy = kept.policy_hash(own if own is not None else built_in(), tuning, path_version, merge_mode)
+    start = kept.start_set_id(f"{mode}:{which}", explicit)
+    t = tables(spark, repo)
+    now = materialise(tips(spark, repo, t, which, explicit), "tips")
+    here = (F.col("repo_id") == repo_id) & (F.col("policy_hash") == policy)
+    if mode == "snapshot":
+        pairs = now.join(t.graph, now.tip == t.graph.id).select(F.col("id").alias("commit_id"), F.lit(0).alias("parent_idx"), F.col("tree").alias("new"), F.lit(None).cast("string").alias("old")).distinct()
+        changes = history.tree_changes(pairs, t.entries)
+    else:
+        marks = state.watermarks().where(here & (F.col("start_set_id") == start)).select("ref", F.col("tip").alias("watermark"))
+        new = history.introduced(materialise(now.join(marks, "ref", "left"), "refs"), t.graph, t.edges)
+        changes = history.candidates(new, t.graph, t.entries, merge_mode)
+    found = changes.where(~excluded(F.col("path"), path_version)).withColumn("path_class", path_class(F.col("path")))
+    contexts = materialise(history.unseen(found, state.read("seen_blob").where(here)), "contexts")
+    blobs = t.objects.where("type = 'blob'").select("oid")
+    skipped = contexts.select("oid").distinct().join(blobs, "oid", "left_anti").count()
+    contexts = contexts.join(blobs, "oid", "left_semi")
+    findings = materialise(scan(_text_blobs(t, contexts), own, tuning, id_col="oid").withColumnRenamed("object_id", "oid"), "findings")
+    rows = kept.finalize(repo_id, policy, contexts, findings)
+    key = [F.lit(x).alias(n) for x, n in ((repo_id, "repo_id"), (policy, "policy_hash"), (start, "start_set_id"))]
+    run = state.persist({**rows, "ref_watermark": now.select(*key, "ref", "tip")}, complete=skipped == 0)
+    return Run(contexts, findings, skipped == 0, skipped, run)

@@ -10,13 +10,14 @@ import hashlib
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.rules import Rule
 
 TABLES = {
-    "blob_ctx": "repo_id string, policy_hash string, oid string, commit_id string, path string",
+    "blob_ctx": "repo_id string, policy_hash string, oid string, commit_id string, path string, parent_idx int, change string, mode string, path_class int",
     "finding": "repo_id string, policy_hash string, oid string, start long, end long, rule_id int, norm_hash string",
     "seen_blob": "repo_id string, policy_hash string, oid string",
     "ref_watermark": "repo_id string, policy_hash string, start_set_id string, ref string, tip string",
@@ -64,16 +65,35 @@ class State:
         run = uuid.uuid4().hex
         for name in ("blob_ctx", "finding", "seen_blob", *(["ref_watermark"] if complete else [])):
             if name in tables:
-                columns = [c.split()[0] for c in TABLES[name].split(", ")]
-                tables[name].select(*columns, F.lit(run).alias("run")).write.mode("append").parquet(f"{self.path}/{name}")
-        place = self.spark.read.json(f"{self.path}/committed").count() if self._exists("committed") else 0
-        self.spark.createDataFrame([(run, place)], "run string, place long").coalesce(1).write.mode("append").json(f"{self.path}/committed")
+                rows = tables[name]
+                columns = [(F.col(n) if n in rows.columns else F.lit(None)).cast(kind).alias(n) for n, kind in (c.split() for c in TABLES[name].split(", "))]
+                rows.select(*columns, F.lit(run).alias("run")).write.mode("append").parquet(f"{self.path}/{name}")
+        self._commit(run)
         return run
 
+    def _commit(self, run: str) -> None:
+        """Write the run's marker under the next free number; two runs can't take the same one."""
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/committed")
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)
+        place = 1 + max((int(n) for f in fs.listStatus(folder) if (n := f.getPath().getName().removesuffix(".json")).isdigit()), default=-1)
+        while True:
+            try:
+                out = fs.create(jvm.org.apache.hadoop.fs.Path(folder, f"{place:012}.json"), False)
+                break
+            except Py4JJavaError:
+                if not fs.exists(jvm.org.apache.hadoop.fs.Path(folder, f"{place:012}.json")):
+                    raise
+                place += 1
+        out.write(bytearray(json.dumps({"run": run, "place": place}).encode() + b"\n"))
+        out.close()
+
 
 def finalize(repo_id: str, policy: str, contexts: DataFrame, found: DataFrame) -> dict[str, DataFrame]:
     """The rows of a run: the smallest context and the distinct findings of each blob, and what is seen now."""
     key = [F.lit(repo_id).alias("repo_id"), F.lit(policy).alias("policy_hash")]
-    smallest = contexts.groupBy("oid").agg(F.min(F.struct("commit_id", "path")).alias("m"))
+    order = [c for c in ("commit_id", "path", "parent_idx", "change", "mode", "path_class") if c in contexts.columns]
+    smallest = contexts.groupBy("oid").agg(F.min(F.struct(*order)).alias("m"))
     findings = found.select(*key, "oid", F.col("root_start").alias("start"), F.col("root_end").alias("end"), "rule_id", "norm_hash").distinct()
-    return {"blob_ctx": smallest.select(*key, "oid", "m.commit_id", "m.path"), "finding": findings, "seen_blob": smallest.select(*key, "oid")}
+    return {"blob_ctx": smallest.select(*key, "oid", "m.*"), "finding": findings, "seen_blob": smallest.select(*key, "oid")}

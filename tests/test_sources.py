@@ -209,3 +209,79 @@ def test_ignore_files_of_folders(tmp_path):
         (tmp_path / n).write_text("x")
     got = {p[len(str(tmp_path)) + 1 :] for p, _ in files.walk(str(tmp_path), respect_gitignore=True)}
     assert got == {".gitignore", "here", "sub/.gitignore", "sub/keep.log"}
+
+
+def test_incremental_history(spark, tmp_path):
+    run = make_repo(tmp_path / "r")
+    repo, store = str(tmp_path / "r"), state.State(spark, str(tmp_path / "state"))
+    first = git.scan_changes(spark, repo, store)
+    assert first.complete and [f.rule for f in first.findings.collect()] == ["github-pat"]
+    rows = {r.path: r for r in first.contexts.where("path like 'f%'").collect()}
+    assert set(rows) == {"f0", "f1", "f2", "f3"} and {(r.parent_idx, r.change) for r in rows.values()} == {(0, "Add")}
+    assert sorted(r.change for r in first.contexts.where("path = 'a/long.txt'").collect()) == ["Add", "Modify", "Modify", "Modify"]
+    assert store.read("blob_ctx").count() == store.read("seen_blob").count() == 9 and store.read("finding").count() == 1
+    again = git.scan_changes(spark, repo, store)
+    assert again.contexts.count() == 0 and again.findings.count() == 0
+    # A side branch adds a file of a known content and a new one; the merge shows both against its first parent.
+    run("checkout", "-q", "-b", "side", "HEAD~1")
+    (tmp_path / "r" / "copy").write_bytes(b"late")
+    (tmp_path / "r" / "vendor").mkdir()
+    (tmp_path / "r" / "vendor" / "new.py").write_bytes(b"x = 1 " + TOKEN)
+    run("add", "-A")
+    run("commit", "-qm", "side")
+    run("checkout", "-q", "main")
+    run("merge", "-q", "--no-ff", "-m", "merged", "side")
+    third = git.scan_changes(spark, repo, store)
+    assert {(r.path, r.parent_idx, r.change, r.mode, r.path_class) for r in third.contexts.collect()} == {("vendor/new.py", 0, "Add", "100644", 5)}
+    assert third.contexts.count() == 2 and third.findings.count() == 1  # of the side commit and of the merge
+    assert store.read("blob_ctx").where("path = 'vendor/new.py'").count() == 1
+    # A run of another policy sees everything again; the tips alone have no history.
+    snapshot = git.scan_changes(spark, repo, state.State(spark, str(tmp_path / "other")), mode="snapshot")
+    assert snapshot.contexts.where("path = 'a/long.txt'").count() == 1 and snapshot.complete
+
+
+def test_incomplete_runs_leave_watermarks(spark, tmp_path):
+    make_repo(tmp_path / "r")
+    repo, store = tmp_path / "r", state.State(spark, str(tmp_path / "state"))
+    oid = subprocess.run(["git", "rev-parse", "HEAD:late"], cwd=repo, capture_output=True, text=True, check=True).stdout.strip()
+    lost = repo / ".git" / "objects" / oid[:2] / oid[2:]
+    whole = lost.read_bytes()
+    lost.chmod(0o644)
+    lost.write_bytes(whole[:5])
+    run = git.scan_changes(spark, str(repo), store)
+    assert (run.complete, run.skipped) == (False, 1) and store.watermarks().count() == 0 and store.read("finding").count() == 1
+    lost.write_bytes(whole)
+    run = git.scan_changes(spark, str(repo), store)
+    assert run.complete and [r.path for r in run.contexts.collect()] == ["late"] and store.watermarks().count() == 1
+
+
+def test_sha256_tags_and_alternates(spark, tmp_path):
+    def call(*a, cwd):
+        subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", *a], cwd=cwd, check=True, capture_output=True)
+
+    path = tmp_path / "r"
+    path.mkdir()
+    call("init", "-q", "-b", "main", "--object-format=sha256", cwd=path)
+    (path / "f").write_bytes(TOKEN)
+    call("add", "-A", cwd=path)
+    call("commit", "-qm", "one", cwd=path)
+    call("tag", "-a", "v1", "-m", "tagged", cwd=path)
+    call("tag", "-a", "v2", "-m", "a tag of a tag", "v1", cwd=path)
+    for _ in range(2):  # loose, then packed
+        assert git.id_bytes(str(path)) == 32
+        for r in git.objects(spark, str(path)).collect():
+            assert git.object_id(r.type, bytes(r.content), 32) == r.oid
+        assert git.scan_repository(spark, str(path), "branches_and_tags")[1].count() == 1
+        call("gc", "-q", cwd=path)
+    call("clone", "-q", "--shared", str(path), str(tmp_path / "c"), cwd=tmp_path)
+    assert git.scan_repository(spark, str(tmp_path / "c"))[1].count() == 1
+    told = git.preflight(str(tmp_path / "c"))
+    assert told["packs"] == 1 and told["packs_without_index"] == 0 and told["locked"] == []
+    with pytest.raises(ValueError):
+        git.preflight(str(path), most_packs=0)
+
+
+def test_shallow_clone(spark, tmp_path):
+    make_repo(tmp_path / "r")
+    subprocess.run(["git", "clone", "-q", "--depth", "2", f"file://{tmp_path / 'r'}", str(tmp_path / "c")], check=True, capture_output=True)
+    assert git.scan_repository(spark, str(tmp_path / "c"))[0].count() == 6
