@@ -306,36 +306,31 @@ def generation_number(spark, sf_dir):
 _TREE = "t AS (SELECT l_orderkey AS tree, l_linenumber AS name, min(l_partkey) AS oid FROM lineitem GROUP BY ALL)"
 
 
-def _trees(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("tree"), F.col("l_linenumber").alias("name")).agg(F.min("l_partkey").alias("oid"))
+def _diffs(spark, sf_dir, parents, merge_mode="all_parents"):
+    """The changes of each tree against those numbered ``parents`` before it, as commits of that number."""
+    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("tree"), F.col("l_linenumber").alias("name")).agg(F.min("l_partkey").alias("oid"))
+    entries = history.materialise(t.select("tree", F.col("name").cast("string").alias("name"), "oid", F.lit("file").alias("kind"), F.lit("100644").alias("mode")), "trees")
+    graph = entries.select(F.col("tree").alias("id"), "tree", F.array(*[F.col("tree") - k for k in parents]).alias("parents")).distinct()
+    found = history.candidates(graph.select("id"), graph, entries, merge_mode)
+    return found.select(F.col("commit_id").alias("tree"), F.col("path").cast("int").alias("name"), "oid", F.col("parent_idx").cast("long").alias("parent_idx"), "change")
 
 
 @query(f"WITH {_TREE} SELECT n.tree, n.name, n.oid, CASE WHEN o.oid IS NULL THEN 'Add' ELSE 'Modify' END AS change FROM t n LEFT JOIN t o ON o.tree = n.tree - 1 AND o.name = n.name WHERE o.oid IS NULL OR o.oid <> n.oid")
 def tree_diff(spark, sf_dir):
-    t = history.materialise(_trees(spark, sf_dir), "trees")
-    n, o = t.alias("n"), t.select((F.col("tree") + 1).alias("tree"), "name", "oid").alias("o")
-    both = n.join(o, ["tree", "name"], "left").where(F.col("o.oid").isNull() | (F.col("o.oid") != F.col("n.oid")))
-    return both.select("tree", "name", F.col("n.oid").alias("oid"), F.when(F.col("o.oid").isNull(), "Add").otherwise("Modify").alias("change"))
+    return _diffs(spark, sf_dir, (1,)).drop("parent_idx")
 
 
 _PARENTS = "c AS (SELECT tree, name, oid, unnest([0, 1]) AS parent_idx FROM t)"
 
 
-def _parents(spark, sf_dir, which):
-    t = history.materialise(_trees(spark, sf_dir), "trees")
-    n = t.withColumn("parent_idx", F.explode(F.array(*[F.lit(k) for k in which]))).withColumn("old", F.col("tree") - 1 - F.col("parent_idx"))
-    o = t.select(F.col("tree").alias("old"), "name", F.col("oid").alias("old_oid"))
-    return n.join(o, ["old", "name"], "left").where("old_oid is null or old_oid <> oid").select("tree", "name", "oid", F.col("parent_idx").cast("long").alias("parent_idx"))
-
-
 @query(f"WITH {_TREE}, {_PARENTS} SELECT c.tree, c.name, c.oid, c.parent_idx::BIGINT AS parent_idx FROM c LEFT JOIN t o ON o.tree = c.tree - 1 - c.parent_idx AND o.name = c.name WHERE o.oid IS NULL OR o.oid <> c.oid")
 def merge_parents(spark, sf_dir):
-    return _parents(spark, sf_dir, (0, 1))
+    return _diffs(spark, sf_dir, (1, 2)).drop("change")
 
 
 @query(f"WITH {_TREE} SELECT c.tree, c.name, c.oid, 0::BIGINT AS parent_idx FROM t c LEFT JOIN t o ON o.tree = c.tree - 1 AND o.name = c.name WHERE o.oid IS NULL OR o.oid <> c.oid")
 def first_parent(spark, sf_dir):
-    return _parents(spark, sf_dir, (0,))
+    return _diffs(spark, sf_dir, (1, 2), "first_parent").drop("change")
 
 
 @query("SELECT l_partkey AS oid, l_orderkey AS commit_id, l_linenumber AS path FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem) WHERE k = 1")
