@@ -24,5 +24,13 @@ def summary_event(source: str, status: str, elapsed_ms: int, size: int, findings
     return {"type": "summary", "source": source, "status": status, "elapsed_ms": elapsed_ms, "bytes": size, "findings": findings, "errors": errors, "throughput_mib_s": round(size / 1048576 / max(elapsed_ms, 1) * 1000, 2)}
 
 
+def progress_event(source: str, stage: str, objects: int, size: int, findings: int) -> dict:
+    return {"type": "progress", "source": source, "stage": stage, "objects": objects, "bytes": size, "findings": findings}
+
+
+def diagnostic_event(level: str, message: str) -> dict:
+    return {"type": "diagnostic", "level": level, "message": message}
+
+
 def write_jsonl(found: DataFrame, source: str, path: str) -> None:
     finding_events(found, source).write.text(path)

@@ -11,7 +11,7 @@ import os
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -176,8 +176,12 @@ def entries(spark: SparkSession, path: str, **options: object) -> DataFrame:
     return expand(found.where("content is not null")).unionAll(lost)
 
 
-def scan_path(spark: SparkSession, path: str, rules=None, **options: object) -> DataFrame:
-    """Findings below a path, archives expanded."""
+def scan_path(spark: SparkSession, path: str, rules=None, observation: Observation | None = None, **options: object) -> DataFrame:
+    """Findings below a path, archives expanded; an ``observation`` counts scanned objects, their bytes, and what was skipped or cut."""
     from tarn.operators.scan import scan
 
-    return scan(entries(spark, path, **options).where("content is not null"), rules, id_col="path")
+    found = entries(spark, path, **options)
+    if observation is not None:
+        whole = F.col("content").isNotNull()
+        found = found.observe(observation, F.count_if(whole).alias("objects"), F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("bytes"), F.count_if(F.col("outcome") == "skipped").alias("skipped"), F.count_if(F.col("outcome") == "partial").alias("partial"))
+    return scan(found.where("content is not null"), rules, id_col="path")

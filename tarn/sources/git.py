@@ -15,7 +15,7 @@ import zlib
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -427,6 +427,8 @@ class Run:
     complete: bool
     skipped: int
     run: str
+    objects: int
+    bytes: int
 
 
 def scan_changes(spark: SparkSession, repo: str, state, *, repo_id: str | None = None, which: str = "default", explicit: tuple[str, ...] = (), mode: str = "history", merge_mode: str = "all_parents", path_version: int = 1, rules=None, tuning=None) -> Run:
@@ -464,8 +466,10 @@ def scan_changes(spark: SparkSession, repo: str, state, *, repo_id: str | None =
     blobs = t.objects.where("type = 'blob'").select("oid")
     skipped = contexts.select("oid").distinct().join(blobs, "oid", "left_anti").count()
     contexts = contexts.join(blobs, "oid", "left_semi")
-    findings = materialise(scan(_text_blobs(t, contexts), own, tuning, id_col="oid").withColumnRenamed("object_id", "oid"), "findings")
+    seen = Observation()
+    texts = _text_blobs(t, contexts).observe(seen, F.count(F.lit(1)).alias("objects"), F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("bytes"))
+    findings = materialise(scan(texts, own, tuning, id_col="oid").withColumnRenamed("object_id", "oid"), "findings")
     rows = kept.finalize(repo_id, policy, contexts, findings)
     key = [F.lit(x).alias(n) for x, n in ((repo_id, "repo_id"), (policy, "policy_hash"), (start, "start_set_id"))]
     run = state.persist({**rows, "ref_watermark": now.select(*key, "ref", "tip")}, complete=skipped == 0)
-    return Run(contexts, findings, skipped == 0, skipped, run)
+    return Run(contexts, findings, skipped == 0, skipped, run, seen.get["objects"], seen.get["bytes"])
