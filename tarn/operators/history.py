@@ -10,7 +10,7 @@ from __future__ import annotations
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
@@ -152,6 +152,11 @@ def tree_diff(new: DataFrame, old: DataFrame) -> DataFrame:
     return both.select(F.col("n.path").alias("path"), F.col("n.oid").alias("oid"), change.alias("change")).where("change is not null")
 
 
+def tree_order(name: Column, kind: Column) -> Column:
+    """What entries of a tree are sorted by: a folder's name counts as if it ended in a slash."""
+    return F.concat(name, F.when(kind == "tree", "/").otherwise(""))
+
+
 BLOBS = ("file", "executable", "symlink")
 
 

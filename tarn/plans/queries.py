@@ -403,6 +403,16 @@ def pack_order(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("pack_id"), F.col("l_orderkey").alias("pack_offset"), F.row_number().over(order).cast("long").alias("place"))
 
 
+@query("""WITH e AS (SELECT DISTINCT l_orderkey AS tree, 'n' || (l_linenumber // 2)::VARCHAR || CASE l_linenumber % 2 WHEN 0 THEN '' ELSE '.c' END AS name, CASE l_linenumber % 2 WHEN 0 THEN 'tree' ELSE 'file' END AS kind FROM lineitem)
+SELECT tree, name, row_number() OVER (PARTITION BY tree ORDER BY CASE kind WHEN 'tree' THEN name || '/' ELSE name END) AS place FROM e""")
+def tree_order(spark, sf_dir):
+    odd = F.col("l_linenumber") % 2 == 1
+    name = F.concat(F.lit("n"), F.expr("cast(l_linenumber div 2 as string)"), F.when(odd, ".c").otherwise(""))
+    entries = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tree"), name.alias("name"), F.when(odd, "file").otherwise("tree").alias("kind")).distinct()
+    place = F.row_number().over(Window.partitionBy("tree").orderBy(history.tree_order(F.col("name"), F.col("kind"))))
+    return entries.select("tree", "name", place.cast("long").alias("place"))
+
+
 @query("SELECT s_suppkey, n_name AS rule FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def rule_name_join(spark, sf_dir):
     """The equi join of findings with rule names: a fixed table of 25 rows."""

@@ -136,6 +136,23 @@ def parse_index(data: bytes, wide: int = 20) -> list[tuple[str, int]]:
     return [(i, o if o < 1 << 31 else struct.unpack(">Q", data[large + 8 * (o & 0x7FFFFFFF) :][:8])[0]) for i, o in zip(ids, offsets, strict=True)]
 
 
+def parse_multi_index(data: bytes, wide: int = 20) -> list[tuple[str, str, int]]:
+    """(object id, pack, offset) of a version 1 multi-pack index."""
+    if data[:4] != b"MIDX" or data[4] != 1 or data[5] != (1 if wide == 20 else 2):
+        raise ValueError("not a version 1 multi-pack index of these ids")
+    chunks = {data[12 + 12 * k : 16 + 12 * k]: struct.unpack(">Q", data[16 + 12 * k : 24 + 12 * k])[0] for k in range(data[6])}
+    packs = [n.decode().rsplit(".", 1)[0] + ".pack" for n in data[chunks[b"PNAM"] :].split(b"\0", struct.unpack(">I", data[8:12])[0])[:-1]]
+    n = struct.unpack(">I", data[chunks[b"OIDF"] + 255 * 4 :][:4])[0]
+    ids, places, large = chunks[b"OIDL"], chunks[b"OOFF"], chunks.get(b"LOFF")
+    out = []
+    for k in range(n):
+        pack, offset = struct.unpack(">II", data[places + 8 * k : places + 8 * k + 8])
+        if large is not None and offset >> 31:
+            offset = struct.unpack(">Q", data[large + 8 * (offset & 0x7FFFFFFF) :][:8])[0]
+        out.append((data[ids + wide * k : ids + wide * (k + 1)].hex(), packs[pack], offset))
+    return out
+
+
 def _inflate(data: bytes, at: int, step: int = 64 << 10) -> bytes:
     """The zlib stream that begins at ``at``, read in steps; the rest of the pack isn't copied."""
     d, out, view = zlib.decompressobj(), [], memoryview(data)
@@ -323,6 +340,58 @@ class GitSource(DataSource):
         return ObjectsReader(self.options)
 
 
+class IndexReader(DataSourceReader):
+    """Where objects are: multi-pack indexes, and indexes of the packs that none of them covers."""
+
+    def __init__(self, options):
+        self.dirs = object_dirs(os.path.join(git_dir(options["path"]), "objects"))
+        self.wide = id_bytes(options["path"])
+
+    def partitions(self):
+        parts = []
+        for d in self.dirs:
+            covered: set[str] = set()
+            many = f"{d}/pack/multi-pack-index"
+            if os.path.isfile(many):
+                parts.append(Part("many", many))
+                with open(many, "rb") as f:
+                    data = f.read()
+                covered = {pack for _, pack, _ in parse_multi_index(data, self.wide)}
+            parts += [Part("one", p) for p in sorted(glob.glob(f"{d}/pack/*.idx")) if os.path.basename(p)[:-4] + ".pack" not in covered]
+        return parts or [Part("none", "")]
+
+    def read(self, partition):
+        if partition.kind == "none":
+            return
+        with open(partition.path, "rb") as f:
+            data = f.read()
+        if partition.kind == "many":
+            yield from parse_multi_index(data, self.wide)
+        else:
+            pack = os.path.basename(partition.path)[:-4] + ".pack"
+            yield from ((oid, pack, offset) for oid, offset in parse_index(data, self.wide))
+
+
+class IndexSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "tarn_git_index"
+
+    def schema(self):
+        return "oid string, pack string, pack_offset long"
+
+    def reader(self, schema):
+        return IndexReader(self.options)
+
+
+def object_index(spark: SparkSession, repo: str) -> DataFrame:
+    """(oid, pack, pack_offset) of every packed object once, without decoding any; a lookup is a join by ``oid``."""
+    from tarn.operators.relational import prefer
+
+    spark.dataSource.register(IndexSource)
+    return prefer(spark.read.format("tarn_git_index").load(repo), ["oid"], F.col("pack"), F.col("pack_offset"))
+
+
 def objects(spark: SparkSession, repo: str) -> DataFrame:
     """Every object once: a copy that can be decoded, of the first pack by name, or the loose one."""
     from tarn.operators.relational import prefer

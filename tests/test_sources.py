@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tarn.operators import history
 from tarn.sources import archives, files, git, state
 from tarn.streaming.files import scan_stream
 
@@ -285,3 +286,23 @@ def test_shallow_clone(spark, tmp_path):
     make_repo(tmp_path / "r")
     subprocess.run(["git", "clone", "-q", "--depth", "2", f"file://{tmp_path / 'r'}", str(tmp_path / "c")], check=True, capture_output=True)
     assert git.scan_repository(spark, str(tmp_path / "c"))[0].count() == 6
+
+
+def test_multi_pack_index(spark, tmp_path):
+    run = make_repo(tmp_path / "r")
+    repo = tmp_path / "r"
+    run("repack", "-q")  # a second pack, of the late objects
+    run("multi-pack-index", "write")
+    (repo / "later").write_bytes(b"later")
+    run("add", "-A")
+    run("commit", "-qm", "later")
+    run("repack", "-q")  # a third one, which the index of many doesn't cover
+    want = set()
+    for p in (repo / ".git" / "objects" / "pack").glob("*.idx"):
+        told = subprocess.run(["git", "show-index"], stdin=p.open("rb"), capture_output=True, text=True, check=True).stdout
+        want |= {(x.split()[1], p.stem + ".pack", int(x.split()[0])) for x in told.splitlines()}
+    got = {tuple(r) for r in git.object_index(spark, str(repo)).collect()}
+    assert got == want and len({r[1] for r in got}) == 3
+    # Trees that git wrote are in the order of ``tree_order``.
+    rows = git.tree_entries(git.objects(spark, str(repo))).withColumn("key", history.tree_order(F.col("name"), F.col("kind"))).orderBy("tree", "ord").collect()
+    assert [(r.tree, r.key) for r in rows] == sorted((r.tree, r.key) for r in rows)
