@@ -59,3 +59,17 @@ def test_tree_diff_kinds(spark):
     old = spark.createDataFrame([("a", "1", "executable"), ("b", "0", "file"), ("d", "4", "tree"), ("gone", "9", "file")], schema)
     got = {(r.path, r.change) for r in history.tree_diff(new, old).collect()}
     assert got == {("b", "Modify"), ("d", "Add"), ("e", "Add")}
+
+
+def test_large_graphs_walk_by_joins(spark, monkeypatch):
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "b"), ("e", "c"), ("e", "d")], "child string, parent string")
+    starts = spark.createDataFrame([("x", "e"), ("y", "b")], "ref string, id string")
+    commits = spark.createDataFrame([(i,) for i in "abcde"], "id string")
+
+    def run():
+        return sorted(map(tuple, history.reachable_by(starts, edges).collect())), sorted(map(tuple, history.generations(commits, edges).collect()))
+
+    small = run()
+    assert small[0] == [("x", i) for i in "abcde"] + [("y", "a"), ("y", "b")] and small[1] == [("a", 1), ("b", 2), ("c", 3), ("d", 3), ("e", 4)]
+    monkeypatch.setattr(history, "MOST_EDGES", 0)
+    assert run() == small
