@@ -58,15 +58,25 @@ def training_rows(docs: DataFrame, sample_documents: int, sample_words: int) ->
         return []
     each = max(1, sample_documents // languages)
     # The hashes alone are ranked; then the texts of the chosen rows are cut before they are moved.
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("o"))
-    last = labelled.select("lang", "o").withColumn("k", place).where(F.col("k") <= each).groupBy("lang").agg(F.max("o").alias("last"))
+    last = _first(labelled.select("lang", "o"), each, "o").groupBy("lang").agg(F.max("o").alias("last"))
     chosen = labelled.join(F.broadcast(last), "lang").where("o <= last")  # a row for each language
     words = chosen.select("lang", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"), "o", "doc_id")
     start = F.pmod(F.col("o"), F.greatest(F.lit(1), F.size("w") - sample_words)) + 1
     rows = words.select("lang", F.array_join(F.transform(F.slice("w", start.cast("int"), sample_words), lambda w: F.left(w, F.lit(LONGEST))), " ").alias("t"), "o", "doc_id")
     # Rows that share an id may be any number; as many as the sample stay.
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id", "t"))
-    return sorted((r.t, r.lang) for r in rows.withColumn("k", place).where(F.col("k") <= each).select("t", "lang").collect())
+    return sorted((r.t, r.lang) for r in _first(rows, each, "o", "doc_id", "t").select("t", "lang").collect())
+
+
+#: Shares that partitions are dealt to, so no task ranks the candidates of all partitions.
+SHARES = 32
+
+
+def _first(rows: DataFrame, each: int, *order: str) -> DataFrame:
+    """The first ``each`` rows of each language: of a partition, of a share of the partitions, then of at most ``SHARES`` times ``each``."""
+    rows = rows.withColumn("share", F.pmod(F.spark_partition_id(), F.lit(SHARES)))
+    for by in (("lang", "share"), ("lang",)):
+        rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("k") <= each)
+    return rows
 
 
 #: Characters of a word; longer ones are cut into pieces, all of which count.

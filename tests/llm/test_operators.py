@@ -313,6 +313,16 @@ def test_language(spark, sf_dir):
 # urls
 
 
+def test_language_sample_is_that_of_one_ranking(spark):
+    from tarn.llm.langid import fold, training_rows
+
+    rows = [(k % 700, f"w{k % 5} v{k % 3} text", ("a", "b", None)[k % 10 % 3]) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(70)
+    hashed = docs.where((fold(docs.doc_id) != 2) & docs.lang.isNotNull()).selectExpr("xxhash64('train', doc_id) as o", "doc_id", "text", "lang").collect()
+    want = [(r.text, r.lang) for lang in "ab" for r in sorted(x for x in hashed if x.lang == lang)[:40]]
+    assert training_rows(docs, 80, 60) == sorted(want)
+
+
 def test_long_runs_are_labelled_whole(spark):
     from tarn.llm.langid import identify, words_of
 
