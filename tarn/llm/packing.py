@@ -69,21 +69,27 @@ class ChunkTokenizer(dict):
     are those of its white-space separated chunks, one after another; this is the
     dictionary of chunks met so far. Within a chunk it never joins letters to marks
     either, so a word between marks is looked up or merged by itself. ``most``
-    bounds the cache.
+    bounds the cache: half of it is filled, then serves as ``older`` while the
+    chunks that are met again move to the next half.
     """
 
-    def __init__(self, file: str, most: int = 500_000):
+    def __init__(self, file: str, most: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.letters = _letter_pieces(json.loads(self.tokenizer.to_str())["model"])
         self.most = most
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.most:
+        if len(self) >= self.most // 2:
+            self.older = dict(self)
             self.clear()
-        ids = None
+        ids = self.older.get(chunk)
+        if ids is not None:
+            self[chunk] = ids
+            return ids
         core = chunk.strip(punctuation)
         if core.isalpha():
             head, _, tail = chunk.partition(core)
