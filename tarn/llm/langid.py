@@ -264,7 +264,7 @@ def train(rows: list[tuple[str, str]], *, rounds: int = 40, rate: float = 0.15,
 
 
 class Emissions(dict):
-    """Rows of a growing table by word; ``most`` bounds it."""
+    """Rows of a growing table by word; beyond ``most``, ``shrink`` keeps those of the last batch."""
 
     def __init__(self, model: Model, most: int = 400_000):
         import numpy as np
@@ -282,6 +282,15 @@ class Emissions(dict):
         self[word] = k
         return k
 
+    def shrink(self, used) -> None:
+        """Keep the words whose rows are in ``used``."""
+        import numpy as np
+
+        kept, words = np.unique(used), list(self)  # a word's row is its place
+        self.table[: len(kept)] = self.table[kept]
+        self.clear()
+        self.update((words[k], n) for n, k in enumerate(kept.tolist()))
+
 
 def predict(docs: DataFrame, model: Model | None, key: str = "", carried: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each row by its text alone, and the ``carried`` columns, ``text`` last."""
@@ -298,9 +307,10 @@ def predict(docs: DataFrame, model: Model | None, key: str = "", carried: tuple[
 
         model = shared.value
         known = worker_cache(("emissions", key), lambda: Emissions(model))
+        which = np.zeros(0, np.int64)
         for batch in _small(batches):
             if len(known) > known.most:
-                known.clear()
+                known.shrink(which)
             found, sizes, spread = [], [], []
             for text in batch.column(1):
                 w = words_of(text.as_py()) if text.is_valid else []
