@@ -490,3 +490,24 @@ def test_naive_bayes_decides_and_not_the_lexicon(spark):
     assert not set(got[500].words) & set(LEXICON) and set(got[501].words) & set(LEXICON) and list(got[502].words) == ["bet", "0"]
     want = urls(pages)
     assert all((list(got[i].words), got[i].verdict) == want[i][:2] for i in got)
+
+
+def test_small_caches_change_nothing():
+    from tarn.llm import queries
+    from tarn.llm.langid import Emissions, Model
+    from tarn.llm.packing import ChunkTokenizer
+
+    words = [f"{a}{b}" for a in ("the", "don't", "éa", "x1", "(so)") for b in ("", "ing", "!", "zz", "7")]
+    order = [int(k) for k in np.random.default_rng(5).integers(0, len(words), 300)]
+    small, large = (ChunkTokenizer(queries.tokenizer_file(), most) for most in (8, 10**6))
+    for k in order:
+        assert small.ids(words[k] + " " + words[-k]) == large.ids(words[k] + " " + words[-k])
+    assert len(small) + len(small.older) < 16
+    model = Model(["a", "b"], {})
+    model.weights[:] = np.random.default_rng(6).normal(size=model.weights.shape)
+    rows = Emissions(model, 10)
+    used = np.array([rows[words[k]] for k in order])
+    rows.shrink(used[-6:])
+    assert len(rows) == len(set(order[-6:]))
+    for w in words:
+        assert np.allclose(rows.table[rows[w]], model.emission(w), atol=1e-4)
