@@ -25,9 +25,11 @@ import struct
 import unicodedata
 from bisect import bisect_left, insort
 from collections import defaultdict
-from string import punctuation
+from itertools import compress
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -36,16 +38,21 @@ from tarn.llm._common import small_batches, texts, tidy, worker_cache
 SCHEMA = "doc_id long, start long, length long, token_ids binary, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("token_ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
-#: Characters that str.split() takes for white space and the tokenizer doesn't.
-ODD_SPACES = "\x1c\x1d\x1e\x1f"
+#: White space of the tokenizer's beyond ASCII; it takes a row of any for one space.
+WIDE_SPACE = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
+#: A chunk that is a word of letters, with marks around it or none.
+WORD_BETWEEN_MARKS = r"^(?P<head>[[:punct:]]*)(?P<word>\pL+)(?P<tail>[[:punct:]]*)$"
+
+#: So many words are merged in one call; in longer rows of them each merge takes longer.
+WORDS = 100
 
 #: A byte that no UTF-8 text has; it stands for the end of a word.
 WORD_END = b"\xff"
 
 
 def _letter_pieces(model: dict):
-    """Byte-pair merging of one word of letters by the ranks of the tokenizer's own vocabulary.
+    """Byte-pair merging of words of letters by the ranks of the tokenizer's own vocabulary, and which ids end a word.
 
     Its ids are ordered as its merges are: bytes, bytes that end a word, then merges.
     """
@@ -59,18 +66,21 @@ def _letter_pieces(model: dict):
         body = token.removesuffix(suffix)
         if all(c in byte for c in body):
             ranks[bytes(byte[c] for c in body) + WORD_END * (body != token)] = rank
-    return tiktoken.Encoding("letters", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    ends = np.zeros(max(ranks.values()) + 1, dtype=bool)
+    ends[[rank for token, rank in ranks.items() if token.endswith(WORD_END)]] = True
+    return tiktoken.Encoding("letters", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece, ends
 
 
 class ChunkTokenizer(dict):
-    """Ids of whole texts, as little-endian 32-bit bytes, by way of a cache of chunks.
+    """Ids of whole texts, as little-endian 32-bit bytes, by way of their distinct chunks.
 
     The tokenizer never joins characters across white space, so the ids of a text
-    are those of its white-space separated chunks, one after another; this is the
-    dictionary of chunks met so far. Within a chunk it never joins letters to marks
-    either, so a word between marks is looked up or merged by itself. ``most``
-    bounds the cache: half of it is filled, then serves as ``older`` while the
-    chunks that are met again move to the next half.
+    are those of its white-space separated chunks, one after another. Within a chunk
+    it never joins letters to marks either, so a word between marks is merged by
+    itself, and the words of many texts in a few calls. Marks and all
+    other chunks are left to the tokenizer; this is the dictionary of those met so far. ``most`` bounds it, where a chunk
+    counts once and again for each 64 characters: half of it is filled, then serves
+    as ``older`` while the chunks that are met again move to the next half.
     """
 
     def __init__(self, file: str, most: int = 200_000):
@@ -78,47 +88,83 @@ class ChunkTokenizer(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.letters = _letter_pieces(json.loads(self.tokenizer.to_str())["model"])
-        self.most = most
+        self.letters, self.ends = _letter_pieces(json.loads(self.tokenizer.to_str())["model"])
+        self.half = self.room = most // 2
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.most // 2:
-            self.older = dict(self)
+        if self.room <= 0:
+            self.older, self.room = dict(self), self.half
             self.clear()
         ids = self.older.get(chunk)
-        if ids is not None:
-            self[chunk] = ids
-            return ids
-        core = chunk.strip(punctuation)
-        if core.isalpha():
-            head, _, tail = chunk.partition(core)
-            if not head and not tail:
-                ids = self._word(core)
-            elif "'" not in head:
-                ids = b"".join(self[x] for x in (head, core, tail) if x)
         if ids is None:
             ids = self.whole(chunk)
         self[chunk] = ids
+        self.room -= 1 + len(chunk) // 64
         return ids
 
-    def _word(self, word: str) -> bytes | None:
-        """Ids of a word of letters by rank merging, which costs a twentieth of a call of the tokenizer."""
-        low = word.lower() if word.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", word)])
-        if low.isalpha():
-            found = self.letters(low.encode() + WORD_END)
-            return struct.pack(f"<{len(found)}I", *found)
-        return None
-
     def whole(self, text: str) -> bytes:
         """Ids by the tokenizer itself."""
         found = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(found)}I", *found)
 
+    def found(self, chunks: pa.Array) -> pa.Array:
+        """Ids of each of the chunks, which are distinct."""
+        parts = pc.extract_regex(chunks, WORD_BETWEEN_MARKS)
+        head, word, tail = parts.flatten()
+        plain = np.flatnonzero(pc.and_not(parts.is_valid(), pc.match_substring(head, "'").fill_null(True)))
+        words = _lower(word.take(plain))
+        if not "".join(words).isalpha():
+            letters = np.fromiter(map(str.isalpha, words), bool, len(words))
+            plain, words = plain[letters], list(compress(words, letters))
+        between = pc.binary_join_element_wise(self._marks(head.take(plain)), self._words(words), self._marks(tail.take(plain)), pa.scalar(b"", pa.large_binary()))
+        odd = np.setdiff1d(np.arange(len(chunks)), plain, assume_unique=True)
+        others = pa.array([self[c] for c in chunks.take(odd).to_pylist()], pa.large_binary())
+        place = np.empty(len(chunks), dtype=np.int64)
+        place[np.concatenate([plain, odd])] = np.arange(len(chunks))
+        return pa.concat_arrays([between, others]).take(place)
+
+    def _marks(self, marks: pa.Array) -> pa.Array:
+        coded = marks.dictionary_encode()
+        return pa.array([self[m] if m else b"" for m in coded.dictionary.to_pylist()], pa.large_binary()).take(coded.indices)
+
+    def _words(self, words: list[str]) -> pa.Array:
+        """Ids of each of some words of letters by rank merging, many in one call: no token goes on behind the end of a word."""
+        distinct = list(dict.fromkeys(words))
+        found = [np.empty(0, dtype="<u4")]
+        for at in range(0, len(distinct), WORDS):
+            row = "\0".join([*distinct[at : at + WORDS], ""]).encode().replace(b"\0", WORD_END)
+            found.append(np.array(self.letters(row), dtype="<u4"))
+        ids = np.concatenate(found)
+        stops = np.concatenate([[0], 4 * (np.flatnonzero(self.ends[ids]) + 1)]).astype(np.int64)
+        each = pa.Array.from_buffers(pa.large_binary(), len(distinct), [None, pa.py_buffer(stops), pa.py_buffer(ids)])
+        return each.take(pa.array(words, pa.large_string()).dictionary_encode().indices)
+
+    def many(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each of the texts."""
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, WIDE_SPACE, " "))
+        chunks = lists.flatten().dictionary_encode()
+        ids = self.found(chunks.dictionary).take(chunks.indices)
+        _, stops, data = ids.buffers()
+        at = np.frombuffer(stops, "<i8")[lists.offsets.to_numpy()].tolist()
+        data = memoryview(data or b"")
+        return [bytes(data[a:b]) for a, b in zip(at, at[1:])]
+
     def ids(self, text: str) -> bytes:
-        if any([c in text for c in ODD_SPACES]):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return self.many(pa.array([text]))[0]
+
+
+def _lower(words: pa.Array) -> list[str]:
+    """Words as the tokenizer's normalizer leaves them, which lower-cases each character by itself."""
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar("\0", words.type))[0].as_py()
+    return unicodedata.normalize("NFC", joined).replace("\u03a3", "\u03c3").lower().split("\0") if len(words) else []
+
+
+def _groups(column: pa.Array, most: int = 1_000_000):
+    """Slices of about ``most`` bytes of text, as (first, behind the last)."""
+    size = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(size // most)) + 1).tolist(), len(column)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
 def least_slack(counts: dict[int, int], capacity: int) -> tuple[int, dict[int, int]]:
@@ -229,10 +275,12 @@ def pack(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text_c
 
         def pieces():
             for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    ids = tokenizer.ids(text.as_py()) + end
-                    for at in range(0, len(ids), 4 * capacity):
-                        yield doc, at // 4, ids[at : at + 4 * capacity], len(ids) // 4
+                docs = batch.column(0).to_pylist()
+                for a, b in _groups(batch.column(1)):
+                    for doc, ids in zip(docs[a:b], tokenizer.many(batch.column(1).slice(a, b - a)), strict=True):
+                        ids += end
+                        for at in range(0, len(ids), 4 * capacity):
+                            yield doc, at // 4, ids[at : at + 4 * capacity], len(ids) // 4
 
         first = TaskContext.get().partitionId() << 40
         rows, size = [], 0

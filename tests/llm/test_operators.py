@@ -511,3 +511,23 @@ def test_small_caches_change_nothing():
     assert len(rows) == len(set(order[-6:]))
     for w in words:
         assert np.allclose(rows.table[rows[w]], model.emission(w), atol=1e-4)
+
+
+def test_words_of_letters_are_merged_in_few_calls():
+    import pyarrow as pa
+
+    from tarn.llm import queries
+    from tarn.llm.packing import ChunkTokenizer, _groups
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgéßΣ", k=rng.randrange(1, 9))) for _ in range(3000)]
+    mixed = ["Don't", "(so)", "'tis", "x1", "\u0958a", "İx", "a\xa0b\u3000c", "a\x1cb", "e\u0301", "\0"]
+    texts = ["", " ", *(" ".join(rng.choices(words, k=50)) + rng.choice([".", ",\n", "\t"]) + rng.choice(mixed) for _ in range(200)), "Ab " * 5000]
+    tokenizer = ChunkTokenizer(queries.tokenizer_file())
+    merge, calls = tokenizer.letters, []
+    tokenizer.letters = lambda piece: calls.append(piece) or merge(piece)
+    for kind in (pa.string(), pa.large_string()):
+        assert tokenizer.many(pa.array(texts, kind)) == [tokenizer.whole(t) for t in texts]
+    assert tokenizer.many(pa.array([], pa.string())) == []
+    assert len(calls) < 2 * (len(words) // 100 + 2)
+    assert _groups(pa.array(["a" * 6, "", "b" * 5, "c" * 40, "d"]), 10) == [(0, 2), (2, 3), (3, 5)]
