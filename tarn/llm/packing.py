@@ -77,8 +77,9 @@ class ChunkTokenizer(dict):
     The tokenizer never joins characters across white space, so the ids of a text
     are those of its white-space separated chunks, one after another. Within a chunk
     it never joins letters to marks either, so a word between marks is merged by
-    itself, and the words of many texts in a few calls. Marks and all
-    other chunks are left to the tokenizer; this is the dictionary of those met so far. ``most`` bounds it, where a chunk
+    itself, and the words of many texts in a few calls. All other chunks, marks, and
+    chunks that hold one of the tokenizer's added tokens are left to the tokenizer;
+    this is the dictionary of those met so far. ``most`` bounds it, where a chunk
     counts once and again for each 64 characters: half of it is filled, then serves
     as ``older`` while the chunks that are met again move to the next half.
     """
@@ -88,7 +89,9 @@ class ChunkTokenizer(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.letters, self.ends = _letter_pieces(json.loads(self.tokenizer.to_str())["model"])
+        described = json.loads(self.tokenizer.to_str())
+        self.letters, self.ends = _letter_pieces(described["model"])
+        self.added = [t["content"] for t in described["added_tokens"]]
         self.half = self.room = most // 2
         self.older: dict[str, bytes] = {}
 
@@ -111,8 +114,11 @@ class ChunkTokenizer(dict):
     def found(self, chunks: pa.Array) -> pa.Array:
         """Ids of each of the chunks, which are distinct."""
         parts = pc.extract_regex(chunks, WORD_BETWEEN_MARKS)
+        plain = parts.is_valid()
+        for a in self.added:
+            plain = pc.and_not(plain, pc.match_substring(chunks, a))
         head, word, tail = parts.flatten()
-        plain = np.flatnonzero(pc.and_not(parts.is_valid(), pc.match_substring(head, "'").fill_null(True)))
+        plain = np.flatnonzero(pc.and_not(plain, pc.match_substring(head, "'").fill_null(True)))
         words = _lower(word.take(plain))
         if not "".join(words).isalpha():
             letters = np.fromiter(map(str.isalpha, words), bool, len(words))

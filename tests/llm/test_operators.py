@@ -531,3 +531,15 @@ def test_words_of_letters_are_merged_in_few_calls():
     assert tokenizer.many(pa.array([], pa.string())) == []
     assert len(calls) < 2 * (len(words) // 100 + 2)
     assert _groups(pa.array(["a" * 6, "", "b" * 5, "c" * 40, "d"]), 10) == [(0, 2), (2, 3), (3, 5)]
+
+
+def test_added_tokens_between_spaces_and_marks():
+    import pyarrow as pa
+
+    from tarn.llm import queries
+    from tarn.llm.packing import ChunkTokenizer
+
+    tokenizer = ChunkTokenizer(queries.tokenizer_file())
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "(<|startoftext|>)", "x<|endoftext|>y.", "<|ENDOFTEXT|> endoftext"]
+    assert tokenizer.many(pa.array(texts)) == [tokenizer.whole(t) for t in texts]
+    assert tokenizer.ids(texts[0]) == (49407).to_bytes(4, "little")
