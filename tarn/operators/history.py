@@ -1,12 +1,14 @@
 """History: commits, trees and blobs as tables, and what of them hasn't been seen.
 
 Commit graphs up to a counted size are walked in one task, however deep they are; larger
-ones by loops of joins over a frontier, each round written to the shared folder. Trees
-are walked level by level, all of a level in one join.
+ones by loops of joins, each round written to the shared folder. Only sets of a counted
+size are sent to all executors, through the driver; other joins are shuffled. Trees are
+walked level by level, all of a level in one join.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import islice
 
 import pyarrow as pa
@@ -15,15 +17,44 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tarn.sources.storage import materialise
+from tarn.sources.storage import drop, materialise
 
 
 #: A commit graph of up to so many edges is walked in one task, which holds it as lists; the count comes first.
 MOST_EDGES = 2_000_000
 
+#: Rows of a round that may be sent to all executors; the count comes first, since the planner goes by the size of files, which hold sorted ids in a tenth of their size in memory.
+MOST_SENT = 100_000
+
+#: Tables of a loop's rounds that are written as one when there are so many of a kind.
+MOST_PARTS = 16
+
 
 def _fits(edges: DataFrame) -> bool:
-    return edges.limit(MOST_EDGES + 1).count() <= MOST_EDGES
+    return edges.count() <= MOST_EDGES
+
+
+def _beside(rows: DataFrame, count: int | None = None) -> DataFrame:
+    """``rows`` as a side of a join: sent to all executors if their ``count`` is small, else shuffled, whatever the planner takes their size for."""
+    return F.broadcast(rows) if count is not None and count <= MOST_SENT else rows.hint("merge")
+
+
+class _Growing:
+    """Rows that each round of a loop adds to; a row is written again once for every 16-fold of rounds."""
+
+    def __init__(self, name: str, first: DataFrame):
+        self.name, self.parts = name, [(0, first)]
+
+    def add(self, rows: DataFrame) -> None:
+        """``rows`` and those before are tables of ``materialise``; the last one isn't touched until the next is added."""
+        while len(self.parts) >= MOST_PARTS and len({level for level, _ in self.parts[-MOST_PARTS:]}) == 1:
+            level, old = self.parts[-1][0], [t for _, t in self.parts[-MOST_PARTS:]]
+            self.parts[-MOST_PARTS:] = [(level + 1, materialise(reduce(DataFrame.unionAll, old), self.name))]
+            drop(*old)
+        self.parts.append((0, rows))
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionAll, (t for _, t in self.parts))
 
 
 def _in_one_task(nodes: DataFrame, edges: DataFrame, run, schema: StructType) -> DataFrame:
@@ -69,12 +100,13 @@ def reachable_by(starts: DataFrame, edges: DataFrame) -> DataFrame:
                             stack.append(p)
 
         return materialise(_in_one_task(starts, edges, run, starts.schema), "reached")
-    seen = frontier = materialise(starts, "starts")
-    while not frontier.isEmpty():
-        step = frontier.join(edges, frontier.id == edges.child).select("ref", F.col("parent").alias("id")).distinct().join(seen, ["ref", "id"], "left_anti")
-        frontier = materialise(step, "frontier")
-        seen = materialise(seen.unionAll(frontier), "seen")
-    return seen
+    frontier = materialise(starts, "starts")
+    seen = _Growing("seen", frontier)
+    while n := frontier.count():
+        step = edges.join(_beside(frontier, n), edges.child == frontier.id).select("ref", F.col("parent").alias("id")).distinct()
+        frontier = materialise(step.join(_beside(seen.all()), ["ref", "id"], "left_anti"), "seen")
+        seen.add(frontier)
+    return seen.all()
 
 
 def reachable(tips: DataFrame, edges: DataFrame) -> DataFrame:
@@ -84,7 +116,7 @@ def reachable(tips: DataFrame, edges: DataFrame) -> DataFrame:
 
 def commit_range(tips: DataFrame, watermarks: DataFrame, edges: DataFrame) -> DataFrame:
     """reachable(tips) less reachable(watermarks)."""
-    return reachable(tips, edges).join(reachable(watermarks, edges), "id", "left_anti")
+    return reachable(tips, edges).join(_beside(reachable(watermarks, edges)), "id", "left_anti")
 
 
 def introduced(refs: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFrame:
@@ -107,7 +139,7 @@ def introduced(refs: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFra
 
 
 def generations(commits: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, generation): 1 for roots, else 1 + the largest of the parents'. Each round of the loop settles the next generation at least."""
+    """(id, generation): 1 for roots, else 1 + the largest of the parents'. What is behind a missing parent, or in a circle, has none."""
     if _fits(edges):
 
         def run(pairs, parents):
@@ -126,21 +158,69 @@ def generations(commits: DataFrame, edges: DataFrame) -> DataFrame:
                     known[child] = max(known.get(child, 1), known[at] + 1)
                     if not left[child]:
                         ready.append(child)
-            # What is behind a missing parent, or in a circle, has no generation.
             yield from ((i, g) for i, g in known.items() if not left.get(i))
 
         nodes = commits.select("id", F.lit(0).alias("none"))
         schema = StructType([commits.schema["id"], StructField("generation", LongType())])
         return materialise(_in_one_task(nodes, edges.distinct(), run, schema), "generation")
-    known = materialise(commits.join(edges, commits.id == edges.child, "left_anti").select("id", F.lit(1).cast("long").alias("generation")), "generation")
-    frontier = known
-    while not frontier.isEmpty():
-        ready = frontier.join(edges, frontier.id == edges.parent).select("child").distinct()
-        parents = edges.join(ready, "child", "left_semi").join(known, edges.parent == known.id, "left").groupBy("child").agg(F.count(F.lit(1)).alias("n"), F.count("generation").alias("have"), F.max("generation").alias("g"))
-        step = parents.where("n = have").select(F.col("child").alias("id"), (F.col("g") + 1).alias("generation")).join(known, "id", "left_anti")
-        frontier = materialise(step, "generation")
-        known = materialise(known.unionAll(frontier), "generation")
-    return known
+    return _generations_by_joins(commits, edges)
+
+
+#: How a commit stands in a large graph: without parents, with one, with several.
+ROOT, SINGLE, MERGE = 0, 1, 2
+
+
+def _generations_by_joins(commits: DataFrame, edges: DataFrame) -> DataFrame:
+    """``generations`` of a large graph: in rounds as many as the logarithm of the longest row of
+    commits with one parent each, and then as many as merges stand behind each other.
+
+    A commit with one parent jumps over twice as many others each round, until it stands
+    on a root, which settles it, or on a merge. Then merges settle once all their parents have.
+    """
+    of_parent = edges.schema["parent"].dataType
+    each = commits.select("id", F.lit(None).cast(of_parent).alias("parent"), F.lit(0).alias("n")).unionAll(edges.select("child", "parent", F.lit(1)))
+    one = (F.count("parent") == F.sum("n")) & (F.min("parent") == F.max("parent"))
+    nodes = materialise(each.groupBy("id").agg(F.min("parent").alias("to"), F.when(F.sum("n") == 0, ROOT).when(one, SINGLE).otherwise(MERGE).alias("kind")), "nodes")
+    singles, merges = nodes.where(F.col("kind") == SINGLE), nodes.where(F.col("kind") == MERGE).select("id")
+
+    def onto(rows: DataFrame) -> DataFrame:
+        return _beside(rows.select(F.col("id").alias("at"), *(F.col(c).alias(f"at_{c}") for c in rows.columns[1:])))
+
+    def standing(tables: list[DataFrame], kind: int) -> DataFrame:
+        return reduce(DataFrame.unionAll, tables).where(F.col("kind") == kind)
+
+    # (id, to, far, kind): ``to`` stands ``far`` before the commit, and ``kind`` is how. Without a parent in the graph a row is lost, and all that stand on it.
+    jumps = [materialise(singles.select("id", "to").join(onto(nodes.select("id", "kind")), F.col("to") == F.col("at")).select("id", "to", F.lit(1).cast("long").alias("far"), F.col("at_kind").alias("kind")), "jumps")]
+    most, far = singles.count(), 1
+    moving = standing(jumps, SINGLE)
+    while far < most and not moving.isEmpty():  # what jumps farther than there are commits goes in a circle
+        ended = reduce(DataFrame.unionAll, [t.where(F.col("kind") != SINGLE) for t in jumps])
+        step = moving.join(onto(ended.unionAll(moving)), F.col("to") == F.col("at")).select("id", F.col("at_to").alias("to"), (F.col("far") + F.col("at_far")).alias("far"), F.col("at_kind").alias("kind"))
+        jumps.append(materialise(step, "jumps"))
+        moving, far = standing(jumps[-1:], SINGLE), far * 2
+    settled = nodes.where(F.col("kind") == ROOT).select("id", F.lit(1).cast("long").alias("generation")).unionAll(standing(jumps, ROOT).select("id", (F.col("far") + 1).alias("generation")))
+    if merges.isEmpty():
+        return settled
+
+    # (child, on, far): a merge's parents stand ``far`` behind the merge ``on``, or ``far`` is the parent's generation, or null where it has none.
+    behind = standing(jumps, MERGE)
+    parents = settled.select("id", F.lit(None).cast(of_parent).alias("on"), F.col("generation").alias("far")).unionAll(behind.select("id", "to", "far")).unionAll(merges.select("id", "id", F.lit(0).cast("long")))
+    own = edges.join(_beside(merges.withColumnRenamed("id", "child")), "child", "left_semi")
+    up = materialise(own.join(onto(parents), F.col("parent") == F.col("at"), "left").select("child", F.col("at_on").alias("on"), F.col("at_far").alias("far")), "merges")
+
+    def ready(rows: DataFrame) -> DataFrame:
+        g = F.when(F.col("on").isNull(), F.col("far")).otherwise(F.col("far") + F.col("generation"))
+        return rows.groupBy(F.col("child").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count(g).alias("have"), F.max(g).alias("g")).where("n = have").select("id", (F.col("g") + 1).alias("generation"))
+
+    frontier = materialise(ready(up.withColumn("generation", F.lit(None).cast("long"))), "generation")
+    known = _Growing("generation", frontier)
+    while n := frontier.count():
+        touched = up.join(_beside(frontier, n), up.on == frontier.id).select("child").distinct()
+        rows = up.join(_beside(touched), "child", "left_semi")
+        frontier = materialise(ready(rows.join(_beside(known.all()), F.col("on") == F.col("id"), "left").select("child", "on", "far", "generation")), "generation")
+        known.add(frontier)
+    after = behind.join(onto(known.all()), F.col("to") == F.col("at")).select("id", (F.col("far") + F.col("at_generation")).alias("generation"))
+    return settled.unionAll(known.all()).unionAll(after)
 
 
 def tree_diff(new: DataFrame, old: DataFrame) -> DataFrame:

@@ -73,3 +73,38 @@ def test_large_graphs_walk_by_joins(spark, monkeypatch):
     assert small[0] == [("x", i) for i in "abcde"] + [("y", "a"), ("y", "b")] and small[1] == [("a", 1), ("b", 2), ("c", 3), ("d", 3), ("e", 4)]
     monkeypatch.setattr(history, "MOST_EDGES", 0)
     assert run() == small
+
+
+def _plans(spark, after=-1):
+    """Plans that have run, by number, after a number."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = spark._jsparkSession.sharedState().statusStore().executionsList()
+    every = [ran.apply(i) for i in range(ran.size())]
+    return {x.executionId(): x.physicalPlanDescription() for x in every if x.executionId() > after}
+
+
+def test_large_graphs_send_counted_sets_alone(spark, monkeypatch):
+    """What the planner would send by the size of files is shuffled; a long row of commits takes few rounds."""
+    chain = [(k + 1, k) for k in range(20)]
+    merges = [(100, 20), (100, 5), (101, 100), (102, 101), (102, 100), (102, 100)]
+    lost = [(200, 999), (201, 200), (201, 20), (202, 201), (300, 301), (301, 300), (302, 300), (302, 20), (303, 302)]
+    edges = history.materialise(spark.createDataFrame(chain + merges + lost, "child long, parent long"), "edges")
+    commits = history.materialise(spark.createDataFrame([(i,) for i in {x for e in edges.collect() for x in e} - {999}], "id long"), "commits")
+    starts = history.materialise(spark.createDataFrame([("x", 102), ("y", 41), ("y", 7)], "ref string, id long"), "starts")
+
+    def run():
+        return sorted(map(tuple, history.reachable_by(starts, edges).collect())), sorted(map(tuple, history.generations(commits, edges).collect()))
+
+    small = run()
+    assert small[1] == [(k, k + 1) for k in range(21)] + [(100, 22), (101, 23), (102, 24)]
+    written = []
+    monkeypatch.setattr(history, "MOST_EDGES", 0)
+    monkeypatch.setattr(history, "MOST_SENT", 0, raising=False)
+    monkeypatch.setattr(history, "MOST_PARTS", 3, raising=False)
+    before = max(_plans(spark))
+    assert run() == small
+    plans = _plans(spark, before)
+    assert plans and not [p for p in plans.values() if "BroadcastExchange" in p]
+    monkeypatch.setattr(history, "materialise", lambda df, name, f=history.materialise: written.append(name) or f(df, name))
+    history.generations(commits, edges)
+    assert len(written) < 16
